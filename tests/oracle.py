@@ -23,7 +23,7 @@ def duck(sf_dir: str):
 
 def canonical(df: pd.DataFrame) -> list[tuple]:
     def norm(value):
-        if value is None or (isinstance(value, float) and value != value) or value is pd.NaT:
+        if value is None or (isinstance(value, float) and value != value) or value is pd.NaT or value is pd.NA:
             return None
         if hasattr(value, "item") and not hasattr(value, "__len__"):
             value = value.item()

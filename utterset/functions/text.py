@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from utterset.functions.vectors import let
+
 # Fixed value: first code point used to stand for a word (start of plane 1, so
 # surrogates are never produced and 1,048,576 distinct words fit in one pair).
 WORD_CODE_BASE = 65536
@@ -30,14 +32,6 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, r"^\s+|\s+$", "")
 
 
-def let(value: Column, body) -> Column:
-    """Evaluate ``value`` once per row and pass it to ``body`` as a variable.
-
-    Inside a lambda a plain expression would be evaluated again per element.
-    """
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def _word_code(position: Column) -> Column:
     digits = F.lpad(F.hex(position + F.lit(WORD_CODE_BASE - 1)), 8, "0")
     return F.decode(F.unhex(digits), "UTF-32")

@@ -6,6 +6,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once per row and pass it to ``body`` as a variable.
+
+    Inside a lambda a plain expression would be evaluated again per element.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def as_double(x: Column) -> Column:
     return x.cast("array<double>")
 
@@ -28,7 +36,7 @@ def norm(x: Column) -> Column:
 
 def unit(x: Column) -> Column:
     """Divide by (L2 norm + 1e-8)."""
-    return F.transform(x, lambda v: v / (norm(x) + F.lit(1e-8)))
+    return let(norm(x) + F.lit(1e-8), lambda length: F.transform(x, lambda v: v / length))
 
 
 def argmax(x: Column) -> Column:

@@ -36,24 +36,20 @@ def pool_array(frames: Column, mode: str, valid: Column | None = None) -> Column
         raise ValueError(f"unknown pool mode {mode!r}")
     used = frames if valid is None else F.slice(frames, 1, valid.cast("int"))
     n = F.size(used)
-    dims = F.sequence(F.lit(0), F.size(F.element_at(frames, 1)) - 1)
+    zeros = F.transform(F.element_at(frames, 1), lambda _: F.lit(0.0))
 
-    def dim_mean(d: Column) -> Column:
-        return F.aggregate(used, F.lit(0.0), lambda acc, f: acc + F.get(f, d)) / n
+    def summed(change) -> Column:
+        return F.aggregate(used, zeros, lambda acc, f: F.zip_with(acc, change(f), lambda a, b: a + b))
 
-    means = F.transform(dims, dim_mean)
+    means = F.transform(summed(lambda f: f), lambda s: s / n)
     if mode == "mean":
         return means
-    deviations = F.transform(
-        dims,
-        lambda d: F.sqrt(
-            F.aggregate(
-                used, F.lit(0.0), lambda acc, f: acc + F.pow(F.get(f, d) - dim_mean(d), F.lit(2.0))
-            )
-            / n
-        ),
-    )
-    return F.concat(means, deviations)
+
+    def with_deviation(m: Column) -> Column:
+        squares = summed(lambda f: F.zip_with(f, m, lambda x, c: (x - c) * (x - c)))
+        return F.concat(m, F.transform(squares, lambda s: F.sqrt(s / n)))
+
+    return vectors.let(means, with_deviation)
 
 
 def pool_long(df: DataFrame, *, utt: str, dim: str, value: str, mode: str) -> DataFrame:

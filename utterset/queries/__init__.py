@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from utterset.queries import statistics
+from utterset.queries import corpus, logs, packing, representation, statistics
 
-MODULES = (statistics,)
+MODULES = (corpus, packing, statistics, representation, logs)
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -31,9 +31,10 @@ def prefixed_path(root: str, utt: str = "utt_id", ext: str = ".flac") -> Column:
     return F.concat(F.lit(root.rstrip("/") + "/"), F.substring(utt, 1, 2), F.lit("/"), F.col(utt), F.lit(ext))
 
 
-def _delimited(spark: SparkSession, path: str, sep: str) -> DataFrame:
+def _delimited(spark: SparkSession, path: str, sep: str, quoted_newlines: bool) -> DataFrame:
+    # files with line breaks inside quotes cannot be split between tasks
     return (
-        spark.read.option("header", True).option("sep", sep).option("multiLine", True)
+        spark.read.option("header", True).option("sep", sep).option("multiLine", quoted_newlines)
         .option("escape", '"').option("nullValue", "\0").option("emptyValue", "").csv(path)
     )
 
@@ -59,9 +60,11 @@ def read_tsv_union(spark: SparkSession, files: Sequence[str], columns: Sequence[
     return union_sources(parts)
 
 
-def read_labeled_csv(spark: SparkSession, path: str, required: Sequence[str]) -> DataFrame:
+def read_labeled_csv(
+    spark: SparkSession, path: str, required: Sequence[str], *, quoted_newlines: bool = False
+) -> DataFrame:
     """Header CSV that must have the required columns."""
-    df = _delimited(spark, path, ",")
+    df = _delimited(spark, path, ",", quoted_newlines)
     missing = [c for c in required if c not in df.columns]
     if missing:
         raise ValueError(f"{path} lacks {missing}; columns: {df.columns}")
