@@ -16,14 +16,15 @@ BLANK = "<blank>"
 
 def asr_counts(df: DataFrame, reference: str = "reference", hypothesis: str = "hypothesis") -> DataFrame:
     """Add word/character errors and reference units of each utterance."""
-    ref, hyp = F.col(reference), F.col(hypothesis)
-    prepared = spread(df).withColumn("_rw", tx.words(ref)).withColumn("_hw", tx.words(hyp))
+    ref = F.col(reference)
     return (
-        prepared.withColumn("word_errors", tx.word_errors(F.col("_rw"), F.col("_hw")))
-        .withColumn("word_units", F.size("_rw").cast("long"))
-        .withColumn("char_errors", tx.character_errors(ref, hyp))
+        spread(df)
+        .withColumn("_e", tx.edit_counts(ref, F.col(hypothesis)))
+        .withColumn("word_errors", F.col("_e.words"))
+        .withColumn("word_units", F.size(tx.words(ref)).cast("long"))
+        .withColumn("char_errors", F.col("_e.characters"))
         .withColumn("char_units", F.length(tx.strip(ref)).cast("long"))
-        .drop("_rw", "_hw")
+        .drop("_e")
     )
 
 

@@ -14,10 +14,10 @@ from pyspark.sql import functions as F
 
 from utterset import violations as v
 from utterset.functions import vectors
-from utterset.functions.hashing import draw_index, order_key
+from utterset.functions.hashing import draw_indices, draws_per_key, key_words, order_key
 from utterset.operators import asr, classify, verify
 from utterset.plans.ordering import with_position
-from utterset.session import sized, slots
+from utterset.session import broadcast_if_small, sized, slots
 
 TASKS = ("reconstruction", "asr", "classification", "verification")
 SCHEMA_VERSION = "paired-bootstrap-v1"
@@ -100,14 +100,27 @@ def positioned(units: DataFrame, unit: str, seed: int) -> DataFrame:
     return with_position(hashed, "_h", [unit]).drop("_h")
 
 
-def bootstrap_draws(spark, n: int, replicates: int, seed: int, first: int = 0) -> DataFrame:
-    """(replicate, pos): n uniform draws with replacement per replicate."""
-    rows = n * replicates
-    base = spark.range(0, rows, 1, slots(spark, rows)).select(
-        (F.floor(F.col("id") / F.lit(n)) + first).cast("int").alias("replicate"),
-        F.pmod("id", F.lit(n)).alias("j"),
+def bootstrap_draws(spark, n: int, replicates: int, seed: int) -> DataFrame:
+    """(replicate, pos): n uniform draws with replacement per replicate.
+
+    Generated in parallel from a range; one digest serves several draws.
+    """
+    per_key = draws_per_key(n)
+    blocks = -(-n // per_key)
+    rows = blocks * replicates
+    numbered = spark.range(0, rows, 1, slots(spark, rows, 250_000)).select(
+        F.floor(F.col("id") / F.lit(blocks)).cast("int").alias("replicate"),
+        F.pmod("id", F.lit(blocks)).alias("block"),
     )
-    return base.select("replicate", draw_index(order_key(seed, "draw", "replicate", "j"), n).alias("pos"))
+    high, low = key_words(F.col("h"))
+    words = numbered.withColumn("h", order_key(seed, "draw", "replicate", "block")).select(
+        "replicate", "block", high.alias("high"), low.alias("low")
+    )
+    picks = [
+        F.when(F.col("block") * per_key + w < n, index)
+        for w, index in enumerate(draw_indices(F.col("high"), F.col("low"), n))
+    ]
+    return words.select("replicate", F.explode(F.array(*picks)).alias("pos")).where(F.col("pos").isNotNull())
 
 
 def apply_weights(units: DataFrame, draws: DataFrame) -> DataFrame:
@@ -194,16 +207,17 @@ def _cells(entries: DataFrame, extra: Sequence[str] = ()) -> list[tuple]:
 
 
 def _additive(
-    entries: DataFrame, unit: str, sums: dict[str, str], metrics: Sequence[str], replicates: int, seed: int,
+    entries: DataFrame, unit: str, sums: dict[str, str], cells: list[tuple], replicates: int, seed: int,
     finish: Callable[[Column, Column], Column],
 ) -> tuple[DataFrame, DataFrame]:
     """Points and replicates of ``finish(sum numerator, sum denominator)``.
 
-    Units become one wide row (a column per system, seed and metric), so each
-    draw meets its unit once; the grouped sums need no further shuffle of rows.
+    ``sums`` names the numerator (n) and denominator (d) columns; without a
+    denominator rows are counted.  Units become one wide row (a column per
+    system, seed and metric), so each draw meets its unit once and the grouped
+    sums need no further shuffle of rows.
     """
     spark = entries.sparkSession
-    cells = [(*c, m) for c in _cells(entries) for m in metrics]
     wide_cols = []
     for i, (system, _, run, metric) in enumerate(cells):
         here = (F.col("system") == system) & (F.col("seed") == run) & (F.col("metric") == metric)
@@ -213,9 +227,11 @@ def _additive(
     units = sized(with_position(hashed, "_h", [unit]).drop("_h", unit))
     n = units.count()
     columns = [f"{p}{i}" for i in range(len(cells)) for p in sums]
-    total = [F.sum(c).alias(c) for c in columns]
+    total = [F.sum(c).alias(c) for c in columns] + [F.count(F.lit(1)).alias("drawn")]
     point_row = units.agg(*total).withColumn("replicate", F.lit(-1))
-    boot_rows = bootstrap_draws(spark, n, replicates, seed).join(units, "pos").groupBy("replicate").agg(*total)
+    side = broadcast_if_small(units, n, 8 * (len(columns) + 2))
+    boot_rows = bootstrap_draws(spark, n, replicates, seed).join(side, "pos").groupBy("replicate").agg(*total)
+    divisor = (lambda i: F.col(f"d{i}")) if "d" in sums else (lambda i: F.col("drawn"))
     long = F.explode(
         F.array(
             *[
@@ -224,7 +240,7 @@ def _additive(
                     F.lit(system).alias("system"),
                     F.lit(order).alias("ord"),
                     F.lit(run).alias("seed"),
-                    finish(F.col(f"n{i}"), F.col(f"d{i}")).alias("value"),
+                    finish(F.col(f"n{i}"), divisor(i)).alias("value"),
                 )
                 for i, (system, order, run, metric) in enumerate(cells)
             ]
@@ -247,11 +263,8 @@ def bootstrap_mean(
 
     ``entries``: (system, ord, seed, unit_id, metric, value).
     """
-    metrics = [r[0] for r in entries.select("metric").distinct().orderBy("metric").collect()]
-    ready = entries.withColumn("_one", F.lit(1.0))
-    points, boot = _additive(
-        ready, unit, {"n": "value", "d": "_one"}, metrics, replicates, seed, lambda a, b: a / b
-    )
+    cells = _cells(entries, ["metric"])
+    points, boot = _additive(entries, unit, {"n": "value"}, cells, replicates, seed, lambda a, b: a / b)
     return bootstrap_summary(points, boot, confidence=confidence)
 
 
@@ -262,6 +275,7 @@ def bootstrap_rate(
 
     ``entries``: (system, ord, seed, unit_id, reference, hypothesis).
     """
+    cells = [(*c, m) for c in _cells(entries) for m in ("wer", "cer")]
     counts = asr.asr_counts(entries)
     long = counts.select(
         "system", "ord", "seed", unit,
@@ -272,7 +286,7 @@ def bootstrap_rate(
             )
         ).alias("c"),
     ).select("system", "ord", "seed", unit, "c.*")
-    points, boot = _additive(long, unit, {"n": "e", "d": "u"}, ["wer", "cer"], replicates, seed, asr.rate)
+    points, boot = _additive(long, unit, {"n": "e", "d": "u"}, cells, replicates, seed, asr.rate)
     return bootstrap_summary(points, boot, confidence=confidence)
 
 

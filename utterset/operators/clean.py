@@ -153,7 +153,7 @@ def validate_amplitude(df: DataFrame, key: str = "sample_id") -> DataFrame:
     from utterset import violations as v
 
     gain, canonical, storage = (F.col(c) for c in ("amplitude_restore_gain", "canonical_peak", "storage_peak"))
-    present = F.size(F.filter(F.array(gain, canonical, storage), lambda x: x.isNotNull()))
+    present = sum((c.isNotNull().cast("int") for c in (gain, canonical, storage)), F.lit(0))
     whole = present == 3
     finite = vectors.is_finite(gain) & vectors.is_finite(canonical) & vectors.is_finite(storage)
     usable = whole & finite

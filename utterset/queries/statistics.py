@@ -117,13 +117,15 @@ FROM per_pair p JOIN means a ON a.metric = p.metric AND a.system = p.minus
 """
 
 
-def _sql_draws(units: str, replicates: int, seed: int, first_key: str = "draw") -> str:
-    index = sql_index(sql_hash(seed, first_key, "replicate", "j"), "n")
+def _sql_draws(units: str, replicates: int, seed: int) -> str:
+    """Draws of replicate and j: four 30-bit words of the digest of (replicate, j // 4)."""
     return f"""
 draws AS (
-  SELECT replicate, {index} AS pos FROM (
-    SELECT replicate, n, unnest(range(n)) AS j
-    FROM range({replicates}) t(replicate), (SELECT count(*) AS n FROM {units})))
+  SELECT replicate, (CASE j % 4 WHEN 0 THEN hi >> 30 WHEN 1 THEN hi & 1073741823 WHEN 2 THEN lo >> 30 ELSE lo & 1073741823 END) % n AS pos FROM (
+    SELECT replicate, n, j, ('0x' || substr(h, 1, 15))::UBIGINT::BIGINT AS hi, ('0x' || substr(h, 16, 15))::UBIGINT::BIGINT AS lo FROM (
+      SELECT replicate, n, j, {sql_hash(seed, 'draw', 'replicate', 'j // 4')} AS h FROM (
+        SELECT replicate, n, unnest(range(n)) AS j
+        FROM range({replicates}) t(replicate), (SELECT count(*) AS n FROM {units})))))
 """
 
 
