@@ -122,7 +122,7 @@ def test_draws_that_empty_a_fold_are_replaced(spark):
     data = [(s, o, "0", f"u{k}", f"s{k}", k, "x", "x") for o, s in enumerate(("a", "b")) for k in (0, 1)]
     folds = {}
     entries = class_entries(spark, data)
-    speakers = bootstrap.positioned(entries, "speaker_id", 5)
+    speakers, _ = bootstrap.positioned(entries.select("speaker_id").distinct(), "speaker_id", 5)
     units = speakers.join(entries.select("speaker_id", "fold").distinct(), "speaker_id").select("pos", "fold")
 
     def covers(draws):

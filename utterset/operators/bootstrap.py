@@ -94,10 +94,11 @@ def seed_order(seed: Column) -> list[Column]:
 # draws
 
 
-def positioned(units: DataFrame, unit: str, seed: int) -> DataFrame:
-    """Distinct units numbered 0..n-1 in seeded order."""
-    hashed = units.select(unit).distinct().withColumn("_h", order_key(seed, "unit", unit))
-    return with_position(hashed, "_h", [unit]).drop("_h")
+def positioned(units: DataFrame, unit: str, seed: int) -> tuple[DataFrame, int]:
+    """(units numbered 0..n-1 in seeded order, n); ``units`` has one row per unit."""
+    hashed = sized(units.withColumn("_h", order_key(seed, "unit", unit)))
+    n = hashed.count()
+    return with_position(hashed, "_h", [unit], rows=n).drop("_h"), n
 
 
 def bootstrap_draws(spark, n: int, replicates: int, seed: int) -> DataFrame:
@@ -223,9 +224,8 @@ def _additive(
         here = (F.col("system") == system) & (F.col("seed") == run) & (F.col("metric") == metric)
         wide_cols += [F.sum(F.when(here, F.col(c)).cast("double")).alias(f"{p}{i}") for p, c in sums.items()]
     wide = entries.groupBy(unit).agg(*wide_cols)
-    hashed = wide.withColumn("_h", order_key(seed, "unit", unit))
-    units = sized(with_position(hashed, "_h", [unit]).drop("_h", unit))
-    n = units.count()
+    units, n = positioned(wide, unit, seed)
+    units = units.drop(unit)
     columns = [f"{p}{i}" for i in range(len(cells)) for p in sums]
     total = [F.sum(c).alias(c) for c in columns] + [F.count(F.lit(1)).alias("drawn")]
     point_row = units.agg(*total).withColumn("replicate", F.lit(-1))
@@ -309,8 +309,10 @@ def _valid_attempts(
             r[0] for r in valid(draws).select("replicate").orderBy("replicate").limit(replicates).collect()
         ]
         if len(good) == replicates:
-            kept = spark.createDataFrame([(i,) for i in good], "replicate int")
             last = good[-1] + 1
+            if last == replicates:
+                return bootstrap_draws(spark, n, replicates, seed), replicates, replicates
+            kept = spark.createDataFrame([(i,) for i in good], "replicate int")
             return bootstrap_draws(spark, n, last, seed).join(kept, "replicate"), len(good), last
         if tried >= limit:
             raise ValueError("could not draw enough valid resamples")
@@ -332,11 +334,11 @@ def bootstrap_cluster(
     cells = entries.groupBy("speaker_id", *keys, "fold", "gold", "prediction").agg(
         F.count(F.lit(1)).cast("double").alias("w")
     )
-    speakers = sized(positioned(entries, "speaker_id", seed))
-    n = speakers.count()
-    per_speaker = sized(cells.join(speakers, "speaker_id").drop("speaker_id"))
+    cells = sized(cells)
+    speakers, n = positioned(cells.select("speaker_id").distinct(), "speaker_id", seed)
+    per_speaker = cells.join(speakers, "speaker_id").drop("speaker_id")
     folds = sized(per_speaker.select("pos", "fold").distinct())
-    n_folds = folds.select("fold").distinct().count()
+    n_folds = folds.agg(F.count_distinct("fold")).first()[0]
 
     def covers(draws: DataFrame) -> DataFrame:
         return (
@@ -355,7 +357,7 @@ def bootstrap_cluster(
     boot_scores = classify.average_folds(
         classify.fold_scores(resampled, ["replicate", *keys]), ["replicate", *keys]
     )
-    point_cells = per_speaker.groupBy(*keys, "fold", "gold", "prediction").agg(F.sum("w").alias("w"))
+    point_cells = cells.groupBy(*keys, "fold", "gold", "prediction").agg(F.sum("w").alias("w"))
     point_scores = classify.average_folds(classify.fold_scores(point_cells, keys), keys)
     points = _long_metrics(point_scores, keys, [score, "macro_f1"])
     boot = (
@@ -406,31 +408,39 @@ def bootstrap_verification(
     base = sized(entries.select("trial_id", "spk_a", "spk_b", "label").dropDuplicates(["trial_id"]))
     if unit == "speaker":
         names = base.select(F.explode(F.array("spk_a", "spk_b")).alias("spk"))
-        units = sized(positioned(names, "spk", seed))
+        units, n = positioned(names.distinct(), "spk", seed)
+        # the same draws are valid for trials and for their speaker pairs
+        pairs = sized(base.select("spk_a", "spk_b", "label").distinct())
+
+        def labels_drawn(draws: DataFrame) -> DataFrame:
+            m = apply_weights(units, draws).select("replicate", "spk", "m")
+            return apply_speaker_weights(pairs, m)
 
         def weighted(draws: DataFrame) -> DataFrame:
             m = apply_weights(units, draws).select("replicate", "spk", "m")
             return apply_speaker_weights(base, m).select("replicate", "trial_id", "label", "w")
 
     elif unit == "trial":
-        units = sized(positioned(base, "trial_id", seed))
+        units, n = positioned(base.select("trial_id", "label"), "trial_id", seed)
+
+        def labels_drawn(draws: DataFrame) -> DataFrame:
+            return draws.join(units, "pos")
 
         def weighted(draws: DataFrame) -> DataFrame:
-            m = apply_weights(units, draws).select("replicate", "trial_id", F.col("m").alias("w"))
-            return m.join(base.select("trial_id", "label"), "trial_id")
+            return apply_weights(units, draws).select("replicate", "trial_id", "label", F.col("m").alias("w"))
 
     else:
         raise ValueError("bootstrap unit must be speaker or trial")
 
     def has_both(draws: DataFrame) -> DataFrame:
         return (
-            weighted(draws)
+            labels_drawn(draws)
             .groupBy("replicate")
             .agg(F.count_distinct("label").alias("k"))
             .where(F.col("k") == 2)
         )
 
-    draws, _, _ = _valid_attempts(spark, units.count(), replicates, seed, has_both)
+    draws, _, _ = _valid_attempts(spark, n, replicates, seed, has_both)
     scores = entries.select(*keys, "trial_id", "score")
     drawn = weighted(draws).join(scores, "trial_id")
     metrics = ["eer", "min_dcf"]

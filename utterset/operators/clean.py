@@ -95,7 +95,7 @@ def duration_profile(df: DataFrame, duration: str = "duration", group: Sequence[
     Distinct durations are counted first; the rank of a percentile is then found
     in two-level running counts, without a global sort of the rows.
     """
-    from utterset.plans.ordering import running_totals
+    from utterset.plans.ordering import buckets_for, running_totals
     from utterset.session import sized
 
     group = list(group)
@@ -110,7 +110,8 @@ def duration_profile(df: DataFrame, duration: str = "duration", group: Sequence[
         *[F.sum(F.when(F.col("v") <= cut, F.col("c")).otherwise(0)).alias(f"le_{name}")
           for name, cut in (("2_5", 2.5), ("5", 5.0), ("10", 10.0), ("15", 15.0))],
     )
-    ranked = running_totals(values, group, "v", ["c"])
+    # the number of distinct values bounds the largest group
+    ranked = running_totals(values, group, "v", ["c"], buckets=buckets_for(values.count()))
     joined = ranked.join(sizes, group) if group else ranked.join(sizes, F.lit(True))
 
     def at(q: int) -> Column:

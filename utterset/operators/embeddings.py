@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from utterset.functions import vectors
 from utterset.functions.hashing import draw_normal, order_key
-from utterset.plans.ordering import running_totals
+from utterset.plans.ordering import buckets_for, running_totals
 from utterset.session import sized
 
 # Fixed values of the diagnostics.
@@ -372,7 +372,7 @@ def gaussian_shape(df: DataFrame, vector: str, *, slices: int, seed: int = 0) ->
         project, "slice int, y double"
     )
     counted = sized(projected.groupBy("slice", "y").agg(F.count(F.lit(1)).alias("c")))
-    ranked = running_totals(counted, ["slice"], "y", ["c"])
+    ranked = running_totals(counted, ["slice"], "y", ["c"], buckets=buckets_for(n))
     # equal values fill consecutive ranks
     ranks = ranked.select(
         "slice", "y", F.explode(F.sequence(F.col("cum_c") - F.col("c") + 1, F.col("cum_c"))).alias("rank")

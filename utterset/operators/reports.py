@@ -98,3 +98,8 @@ def exposure_hours(
 ) -> DataFrame:
     """Add hours of audio seen after ``steps`` optimizer steps."""
     return df.withColumn("exposure_hours", steps * batch * accumulation * world * seconds / F.lit(3600.0))
+
+
+def unique_hours(df: DataFrame, duration: str = "duration") -> DataFrame:
+    """One row: hours of distinct audio in a corpus."""
+    return df.agg((F.sum(duration) / F.lit(3600.0)).alias("unique_hours"))

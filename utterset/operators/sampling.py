@@ -67,9 +67,9 @@ def fold_of(position: Column, n: Column, k: Column | int) -> Column:
 
 def group_folds(df: DataFrame, group: str, k: int, seed: int) -> DataFrame:
     """(group, fold): groups in seeded order cut into min(k, groups) runs."""
-    groups = df.select(group).distinct().withColumn("_h", order_key(seed, "fold", group))
-    placed = sized(with_position(groups, "_h", [group]))
-    n = placed.count()
+    groups = sized(df.select(group).distinct().withColumn("_h", order_key(seed, "fold", group)))
+    n = groups.count()
+    placed = with_position(groups, "_h", [group], rows=n)
     splits = min(k, n)
     if splits < 2:
         raise ValueError("group folds need at least two groups")
@@ -78,7 +78,7 @@ def group_folds(df: DataFrame, group: str, k: int, seed: int) -> DataFrame:
 
 def group_kfold(df: DataFrame, group: str, k: int, seed: int) -> DataFrame:
     """Add a group-disjoint ``fold``."""
-    return df.join(sized(group_folds(df, group, k, seed)), group)
+    return df.join(group_folds(df, group, k, seed), group)
 
 
 def sample_groups(

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from utterset import violations as v
 from utterset.functions import paths, vectors
 from utterset.functions.hashing import order_key
+from utterset.session import sized
 
 # Fixed values of the shard format.
 BLOCK = 512
@@ -33,46 +34,52 @@ def assign_shards(
     """Add ``shard``: next-fit packing of rows in seeded order.
 
     The seeded order is cut into hash ranges (buckets) of about
-    ``shards_per_bucket`` shards.  Inside a bucket rows stream once in order
-    through a task that remembers only the open shard, so neither bucket nor
-    shard is held in memory; each bucket may leave one part-filled last shard.
+    ``shards_per_bucket`` shards.  Inside a bucket (key, size) pairs stream once
+    in order through a task that remembers only the open shard and emits where
+    each shard starts.  A shard is an interval of the order, so rows find theirs
+    by comparing with their bucket's few starts: payload columns are not
+    shuffled.  Each bucket may leave one part-filled last shard.
     """
-    hashed = df.withColumn("_h", order_key(seed, "shard", key))
     if digits is None:
         total = df.agg(F.sum(size).alias("t")).first()["t"] or 0
         digits, wanted = 0, total / (target * shards_per_bucket)
         while 16**digits < wanted and digits < 5:
             digits += 1
-    bucket = F.substring("_h", 1, digits) if digits else F.lit("")
-    narrow = hashed.select(F.col(key).alias("key"), F.col(size).cast("long").alias("size"), "_h").withColumn(
-        "bucket", bucket
+    hashed = df.withColumn("_h", order_key(seed, "shard", key)).withColumn(
+        "_bucket", F.substring("_h", 1, digits) if digits else F.lit("")
+    )
+    narrow = hashed.select(
+        F.col("_bucket").alias("bucket"), "_h", F.col(key).alias("key"), F.col(size).cast("long").alias("size")
     )
 
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, number, used = None, 0, 0
+    def starts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, used = None, 0
         for pdf in batches:
-            numbers = []
-            for name, need in zip(pdf["bucket"], pdf["size"]):
-                if name != current:
-                    current, number, used = name, 0, 0
-                elif used and used + need + FINAL_RECORD > target:
-                    number, used = number + 1, 0
+            opened = []
+            for row, (name, need) in enumerate(zip(pdf["bucket"], pdf["size"])):
+                if name != current or used + need + FINAL_RECORD > target:
+                    current, used = name, 0
+                    opened.append(row)
                 used += need
-                numbers.append(number)
-            yield pd.DataFrame({"key": pdf["key"], "bucket": pdf["bucket"], "number": numbers})
+            yield pdf.iloc[opened][["bucket", "_h", "key"]]
 
     key_type = df.schema[key].dataType.simpleString()
-    packed = (
+    begun = (
         narrow.repartition("bucket")
         .sortWithinPartitions("bucket", "_h", "key")
-        .select("bucket", "key", "size")
-        .mapInPandas(pack, f"key {key_type}, bucket string, number int")
+        .mapInPandas(starts, f"bucket string, _h string, key {key_type}")
+    )
+    # about `shards_per_bucket` starts to a bucket
+    table = begun.groupBy(F.col("bucket").alias("_bucket")).agg(
+        F.collect_list(F.struct("_h", "key")).alias("_starts")
     )
+    here = F.struct(F.col("_h"), F.col(key).alias("key"))
+    number = F.size(F.filter("_starts", lambda s: s <= here)) - 1
     name = F.concat(
-        F.lit("shard-"), F.when(F.col("bucket") != "", F.concat("bucket", F.lit("-"))).otherwise(""),
-        F.lpad(F.col("number").cast("string"), 6, "0"),
+        F.lit("shard-"), F.when(F.col("_bucket") != "", F.concat("_bucket", F.lit("-"))).otherwise(""),
+        F.lpad(number.cast("string"), 6, "0"),
     )
-    return df.join(packed.select(F.col("key").alias(key), name.alias("shard")), key)
+    return hashed.join(sized(table), "_bucket").withColumn("shard", name).select(*df.columns, "shard")
 
 
 def oversized(df: DataFrame, key: str, size: str) -> DataFrame:
@@ -323,7 +330,6 @@ def consumer_summary(assigned: DataFrame, *, consumers: int, batch: int) -> Data
 def select_for_consumers(rows: DataFrame, assigned: DataFrame, summary: DataFrame, *, key: str, epoch: int, seed: int) -> DataFrame:
     """Exactly the quota of rows for every consumer of one epoch."""
     from utterset.operators.sampling import split_by_cut
-    from utterset.session import sized
 
     plan = sized(
         assigned.where(F.col("epoch") == epoch).join(summary, ["epoch", "consumer"]).select(

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from utterset.functions import vectors
 from utterset.functions.hashing import draw_wide_index, order_key
 from utterset.operators.sampling import with_shared_group_order
-from utterset.plans.ordering import interval_lookup, running_totals
+from utterset.plans.ordering import buckets_for, interval_lookup, running_totals
 from utterset.session import sized, slots
 
 P_TARGET = 0.01
@@ -65,7 +65,7 @@ def verification_metrics(
     group: Sequence[str] = (),
     weight: str | None = None,
     p_target: float = P_TARGET,
-    buckets: int = 32,
+    buckets: int | None = None,
 ) -> DataFrame:
     """EER and normalised minimum detection cost per ``group``.
 
@@ -79,11 +79,16 @@ def verification_metrics(
         F.sum(F.when(F.col("label") == 0, w).otherwise(0.0)).alias("n"),
     )
     per_score = sized(per_score)
+    totals = sized(
+        per_score.groupBy(*group).agg(
+            F.sum("t").alias("tot_t"), F.sum("n").alias("tot_n"), F.count(F.lit(1)).alias("rows")
+        )
+    )
+    largest = totals.agg(F.max("rows")).first()[0] or 0
     cumulative = running_totals(
-        per_score, group, "score", ["t", "n"], descending=True, buckets=buckets
+        per_score, group, "score", ["t", "n"], descending=True, buckets=buckets or buckets_for(largest)
     )
-    totals = per_score.groupBy(*group).agg(F.sum("t").alias("tot_t"), F.sum("n").alias("tot_n"))
-    totals = totals.where((F.col("tot_t") > 0) & (F.col("tot_n") > 0))
+    totals = totals.where((F.col("tot_t") > 0) & (F.col("tot_n") > 0)).drop("rows")
     points = cumulative.join(totals, group) if group else cumulative.join(totals, F.lit(True))
     return _operating_points(points, group, p_target)
 
@@ -164,7 +169,7 @@ def _pair_blocks(
     blocks = -(-n // block_rows)
     placed = emb.select(
         F.col(key).cast("string").alias("rid"),
-        F.xxhash64(F.col(speaker)).alias("code"),
+        F.col(speaker).cast("string").alias("code"),
         vectors.unit(vectors.as_double(F.col(vector))).alias("u"),
         F.pmod(F.xxhash64(F.col(key)), F.lit(blocks)).cast("int").alias("block"),
     )
@@ -193,7 +198,7 @@ def _block_scores(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     pdf = pdf.sort_values(["block", "rid"])
     bi, bj = int(pdf["bi"].iloc[0]), int(pdf["bj"].iloc[0])
     vec = np.stack(pdf["u"].to_numpy())
-    code = pdf["code"].to_numpy()
+    code = pd.factorize(pdf["code"])[0]
     if bi == bj:
         left, right = np.triu_indices(len(vec), k=1)
         return np.round((vec @ vec.T)[left, right], 12), code[left] == code[right]

@@ -20,6 +20,14 @@ def _bucket(hash_col: str, digits: int) -> Column:
     return F.substring(F.col(hash_col), 1, digits)
 
 
+ROWS_PER_BUCKET = 250_000
+
+
+def buckets_for(largest: int) -> int:
+    """Buckets that keep a group of ``largest`` rows within a task's share."""
+    return 1 if largest <= 2 * ROWS_PER_BUCKET else min(128, -(-largest // ROWS_PER_BUCKET))
+
+
 def with_position(
     df: DataFrame,
     hash_col: str,
@@ -28,9 +36,17 @@ def with_position(
     group: Sequence[str] = (),
     name: str = "pos",
     digits: int = 3,
+    rows: int | None = None,
 ) -> DataFrame:
-    """Add the 0-based rank in (hash, ties) order, per ``group`` or global."""
+    """Add the 0-based rank in (hash, ties) order, per ``group`` or global.
+
+    ``rows`` is the counted size of ``df``, if known: a table that fits one
+    task's share is ranked by a plain window.
+    """
     group = list(group)
+    if rows is not None and buckets_for(rows) == 1:
+        plain = Window.partitionBy(*group).orderBy(hash_col, *ties)
+        return df.withColumn(name, (F.row_number().over(plain) - 1).cast("long"))
     marked = df.withColumn("_b", _bucket(hash_col, digits))
     counts = marked.groupBy(*group, "_b").agg(F.count(F.lit(1)).alias("_c"))
     # at most 16**digits rows per group reach this window
@@ -139,11 +155,17 @@ def running_totals(
 ) -> DataFrame:
     """Add ``cum_<v>`` for each value, in ``order_col`` order inside each group.
 
-    ``order_col`` must be unique inside a group: aggregate ties first.
+    ``order_col`` must be unique inside a group: aggregate ties first.  Use
+    ``buckets_for`` when the largest group is known; one bucket is a plain window.
     """
     group = list(group)
-    marked = range_bucket(df, order_col, buckets)
     direction = (lambda c: F.col(c).desc()) if descending else (lambda c: F.col(c).asc())
+    if buckets == 1:
+        plain = Window.partitionBy(*group).orderBy(direction(order_col)).rowsBetween(
+            Window.unboundedPreceding, 0
+        )
+        return df.select("*", *[F.sum(v).over(plain).alias(f"cum_{v}") for v in values])
+    marked = range_bucket(df, order_col, buckets)
     sums = marked.groupBy(*group, "_b").agg(*[F.sum(v).alias(f"_s_{v}") for v in values])
     before = Window.partitionBy(*group).orderBy(direction("_b")).rowsBetween(
         Window.unboundedPreceding, -1

@@ -67,15 +67,21 @@ SELECT interval, key, {sql_round('mean')} AS mean, count, max, sum(count) OVER (
 
 
 def exposure_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hours seen up to each step of the log, and unique hours of the corpus."""
+    """Hours seen up to each step of the log, and passes over the corpus."""
     steps = table(spark, sf_dir, "events").select(F.col("event_id").alias("step"))
     out = reports.exposure_hours(
         steps, steps=F.col("step"), batch=F.lit(42), accumulation=F.lit(4), world=F.lit(1), seconds=F.lit(3.0)
     )
-    return rounded(out, "exposure_hours")
+    corpus = table(spark, sf_dir, "documents").select((F.col("n_chars") / 100.0).alias("duration"))
+    unique = reports.unique_hours(corpus).first()["unique_hours"]
+    return rounded(out.withColumn("passes", F.col("exposure_hours") / F.lit(unique)), "exposure_hours", "passes")
 
 
-SQL_EXPOSURE = f"SELECT event_id AS step, {sql_round('event_id * 42 * 4 * 3.0::DOUBLE / 3600')} AS exposure_hours FROM events"
+SQL_EXPOSURE = f"""
+WITH u AS (SELECT sum(n_chars / 100.0::DOUBLE) / 3600 AS h FROM documents)
+SELECT event_id AS step, {sql_round('event_id * 42 * 4 * 3.0::DOUBLE / 3600')} AS exposure_hours,
+       {sql_round('event_id * 42 * 4 * 3.0::DOUBLE / 3600 / h')} AS passes FROM events, u
+"""
 
 
 def stream_log_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
