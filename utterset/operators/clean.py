@@ -95,7 +95,7 @@ def duration_profile(df: DataFrame, duration: str = "duration", group: Sequence[
     Distinct durations are counted first; the rank of a percentile is then found
     in two-level running counts, without a global sort of the rows.
     """
-    from utterset.plans.ordering import buckets_for, running_totals
+    from utterset.plans.ordering import beside, buckets_for, running_totals
     from utterset.session import sized
 
     group = list(group)
@@ -112,7 +112,7 @@ def duration_profile(df: DataFrame, duration: str = "duration", group: Sequence[
     )
     # the number of distinct values bounds the largest group
     ranked = running_totals(values, group, "v", ["c"], buckets=buckets_for(values.count()))
-    joined = ranked.join(sizes, group) if group else ranked.join(sizes, F.lit(True))
+    joined = ranked.join(sizes, group) if group else beside(ranked, sizes)
 
     def at(q: int) -> Column:
         rank = F.bround(F.lit(q / 100.0) * (F.col("n") - 1))

@@ -55,6 +55,7 @@ def fit_predict(
         regParam=1.0 / (c * n), elasticNetParam=0.0, standardization=False, maxIter=max_iter, tol=1e-4,
         **({"weightCol": "_w"} if balanced else {}),
     ).fit(scaled_train)
+    ready_train.unpersist()
     predicted = model.transform(scaled_test)
     names_array = F.array(*[F.lit(n_) for n_ in names])
     return predicted.withColumn("prediction", F.get(names_array, F.col("_p").cast("int"))).select(*test.columns, "prediction")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from utterset import violations as v
 from utterset.functions import paths, vectors
 from utterset.functions.hashing import order_key
+from utterset.plans.ordering import beside
 from utterset.session import sized
 
 # Fixed values of the shard format.
@@ -194,7 +195,7 @@ def descriptor_violations(descriptor: DataFrame, *, sample_rate: int, files: Dat
     )
     twice = v.duplicates(rows, "path", "duplicate_path")
     total = rows.agg(F.sum("count").alias("listed"))
-    sums = descriptor.select(F.col("counts.samples").alias("samples")).join(total, F.lit(True))
+    sums = beside(descriptor.select(F.col("counts.samples").alias("samples")), total)
     wrong = v.violation(
         sums, "total_samples", F.col("listed") != F.col("samples"), name, F.concat_ws("/", "listed", "samples")
     )

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from utterset.functions import vectors
 from utterset.functions.hashing import draw_wide_index, order_key
 from utterset.operators.sampling import with_shared_group_order
-from utterset.plans.ordering import buckets_for, interval_lookup, running_totals
+from utterset.plans.ordering import beside, buckets_for, interval_lookup, running_totals
 from utterset.session import sized, slots
 
 P_TARGET = 0.01
@@ -89,7 +89,7 @@ def verification_metrics(
         per_score, group, "score", ["t", "n"], descending=True, buckets=buckets or buckets_for(largest)
     )
     totals = totals.where((F.col("tot_t") > 0) & (F.col("tot_n") > 0)).drop("rows")
-    points = cumulative.join(totals, group) if group else cumulative.join(totals, F.lit(True))
+    points = cumulative.join(totals, group) if group else beside(cumulative, totals).where("tot_t IS NOT NULL")
     return _operating_points(points, group, p_target)
 
 
@@ -148,7 +148,7 @@ def all_pairs_summary(emb: DataFrame, *, speaker: str, vector: str) -> DataFrame
         (F.sum("n") * (F.sum("n") - 1) / 2).cast("long").alias("n_pairs"),
         F.sum("target_sum").alias("target_sum"),
     )
-    return counts.join(overall, F.lit(True)).select(
+    return beside(counts, overall).select(
         "n_pairs",
         "n_target",
         (F.col("n_pairs") - F.col("n_target")).alias("n_nontarget"),

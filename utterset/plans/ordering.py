@@ -62,6 +62,14 @@ def with_position(
     )
 
 
+def beside(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Columns of a one-row table added to another (a scalar subquery, no join)."""
+    row = right.select(F.struct("*").alias("_row")).scalar()
+    return left.withColumn("_row", row).select(
+        *left.columns, *[F.col("_row")[c].alias(c) for c in right.columns]
+    )
+
+
 def hash_cut(
     df: DataFrame,
     group: Sequence[str],
@@ -100,9 +108,7 @@ def hash_cut(
         .where(F.col("_rn") == F.col("_need"))
         .select(*group, F.col(hash_col).alias("cut_hash"), F.col(tie).alias("cut_tie"))
     )
-    if not group:
-        return sizes.join(cuts, F.lit(True), "left")
-    return sizes.join(cuts, group, "left")
+    return sizes.join(cuts, group, "left") if group else beside(sizes, cuts)
 
 
 def below_cut(hash_col: str, tie: str) -> Column:
@@ -124,8 +130,15 @@ def split_by_cut(
     digits: int = 3,
 ) -> DataFrame:
     """Flag the ``quota(n)`` first rows of every group in hash order."""
-    cuts = sized(hash_cut(df, group, hash_col, tie, quota, digits=digits))
-    joined = df.join(cuts, list(group), "left") if group else df.join(cuts, F.lit(True), "left")
+    cuts = hash_cut(df, group, hash_col, tie, quota, digits=digits)
+    if group:
+        joined = df.join(sized(cuts), list(group), "left")
+    else:
+        # one cut for the whole table: two literals
+        cut = cuts.first()
+        joined = df.withColumn("cut_hash", F.lit(cut["cut_hash"] if cut else None).cast("string")).withColumn(
+            "cut_tie", F.lit(cut["cut_tie"] if cut else None).cast(df.schema[tie].dataType)
+        )
     return joined.withColumn(name, below_cut(hash_col, tie)).drop("cut_hash", "cut_tie", "n", "k")
 
 

@@ -46,7 +46,7 @@ def sql_wide_index(key: str, n: str) -> str:
 SQL_UTTERANCES = """
 utterances AS (
   SELECT vec_id, label, embedding::DOUBLE[] AS embedding,
-         list_position(embedding[1:10], list_max(embedding[1:10])) - 1 AS speaker
+         (list_position(embedding[1:10], list_max(embedding[1:10])) - 1)::BIGINT AS speaker
   FROM embeddings)
 """
 

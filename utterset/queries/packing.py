@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from utterset.functions import vectors
 from utterset.operators import clean, sampling, shards
+from utterset.plans.ordering import beside
 from utterset.queries.common import SQL_UTTERANCES, rounded, sql_hash, sql_round, table, utterances
 from utterset.session import cut_lineage, scratch_path, spread
 from utterset.sinks import writers
@@ -94,8 +95,9 @@ def descriptor_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sum("count").alias("samples"), F.count(F.lit(1)).alias("n_shards"), F.sum("payload_bytes").alias("payload_bytes"),
         F.sum("duration_seconds").alias("seconds"),
     )
-    one = totals.join(clean_run.agg(F.count(F.lit(1)).alias("violations")), F.lit(True)).join(
-        planted.agg(F.array_join(F.array_sort(F.collect_set("rule")), ",").alias("planted")), F.lit(True)
+    one = beside(
+        beside(totals, clean_run.agg(F.count(F.lit(1)).alias("violations"))),
+        planted.agg(F.array_join(F.array_sort(F.collect_set("rule")), ",").alias("planted")),
     )
     return rounded(one, "seconds", digits=2)
 
@@ -229,7 +231,7 @@ def parity_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.count_if(F.col("reason") == "frame_count").alias("mismatched"),
         F.count_if(F.col("reason") == "max_abs_error").alias("over"),
     )
-    return rounded(totals.join(reasons, F.lit(True)), "max_abs_error", "rms_error", digits=9)
+    return rounded(beside(totals, reasons), "max_abs_error", "rms_error", digits=9)
 
 
 SQL_PARITY = f"""

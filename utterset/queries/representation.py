@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from utterset.functions import vectors
 from utterset.operators import embeddings, probes, sampling, signals
+from utterset.plans.ordering import beside
 from utterset.queries.common import (
     SQL_UTTERANCES,
     rounded,
@@ -128,7 +129,7 @@ def view_contrast(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     pairs = embeddings.view_pairs(clean, moved, pos="pos", n=n).withColumn("aug", F.col("view.z"))
     contrast = embeddings.pair_contrast(pairs, "clean", "aug")
-    both = consistency.join(contrast, F.lit(True))
+    both = beside(consistency, contrast)
     return rounded(both, *both.columns)
 
 
