@@ -67,9 +67,10 @@ def shard_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL_SHARD_VERIFY = f"""
 WITH RECURSIVE {SQL_PACKED}
-SELECT 'shard_count' AS rule, count(DISTINCT shard) AS n, count(DISTINCT shard) AS keys FROM named WHERE shard LIKE '%000001'
-UNION ALL SELECT 'missing_member', count(*), count(*) FROM named WHERE n_chars % 13 = 3
-UNION ALL SELECT 'member_bytes', count(*), count(*) FROM named WHERE n_chars % 13 <> 3 AND n_chars % 17 = 5
+SELECT rule, n, keys FROM (
+  SELECT 'shard_count' AS rule, count(DISTINCT shard) AS n, count(DISTINCT shard) AS keys FROM named WHERE shard LIKE '%000001'
+  UNION ALL SELECT 'missing_member', count(*), count(*) FROM named WHERE n_chars % 13 = 3
+  UNION ALL SELECT 'member_bytes', count(*), count(*) FROM named WHERE n_chars % 13 <> 3 AND n_chars % 17 = 5) WHERE n > 0
 """
 
 
