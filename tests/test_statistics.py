@@ -45,6 +45,8 @@ def test_additive_counts(spark):
     got = [(r["word_errors"], r["word_units"], r["char_errors"], r["char_units"]) for r in asr.asr_counts(df).collect()]
     want = {(1, 2, 1, 3), (1, 3, 2, 5), (2, 1, 7, 5), (0, 0, 0, 0), (2, 0, 3, 0), (1, 2, 3, 4)}
     assert set(got) == want
+    missing = asr.asr_counts(spark.createDataFrame([(None, "x")], "reference string, hypothesis string")).first()
+    assert missing["word_errors"] is None and missing["char_units"] is None
     rates = asr.asr_rates(asr.asr_counts(df.limit(3))).first()
     assert rates["wer"] == pytest.approx(4 / 6)
     empty = asr.asr_rates(asr.asr_counts(spark.createDataFrame([("", "x")], "reference string, hypothesis string"))).first()

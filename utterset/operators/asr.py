@@ -16,16 +16,8 @@ BLANK = "<blank>"
 
 def asr_counts(df: DataFrame, reference: str = "reference", hypothesis: str = "hypothesis") -> DataFrame:
     """Add word/character errors and reference units of each utterance."""
-    ref = F.col(reference)
-    return (
-        spread(df)
-        .withColumn("_e", tx.edit_counts(ref, F.col(hypothesis)))
-        .withColumn("word_errors", F.col("_e.words"))
-        .withColumn("word_units", F.size(tx.words(ref)).cast("long"))
-        .withColumn("char_errors", F.col("_e.characters"))
-        .withColumn("char_units", F.length(tx.strip(ref)).cast("long"))
-        .drop("_e")
-    )
+    counted = spread(df).withColumn("_e", tx.edit_counts(F.col(reference), F.col(hypothesis)))
+    return counted.select("*", *[F.col("_e")[c].alias(c) for c in tx.COUNT_FIELDS]).drop("_e")
 
 
 def rate(errors: Column, units: Column) -> Column:
