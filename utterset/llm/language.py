@@ -113,14 +113,16 @@ class Model:
         known = self.unseen.get(word)
         if known is not None:
             return known
-        padded, longest, step = f"<{word}>", self.settings.longest, np.log(self.settings.penalty)
-        score = np.zeros(len(self.langs))
+        padded, longest, grams = f"<{word}>", self.settings.longest, self.grams
+        found, steps = [], 0
         for end in range(2, len(padded) + 1):
             for n in range(min(longest, end), 0, -1):
-                at = self.grams.get(padded[end - n : end])
+                at = grams.get(padded[end - n : end])
                 if at is not None:
-                    score = score + self.logs[at] + (longest - n) * step
+                    found.append(at)
+                    steps += longest - n
                     break
+        score = self.logs[found].sum(axis=0) + steps * np.log(self.settings.penalty)
         score /= max(1, len(word))  # one word's weight, not one per place
         if len(word) <= 40:
             if len(self.unseen) >= 200_000:
