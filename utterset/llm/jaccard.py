@@ -316,7 +316,7 @@ def verified(classes: DataFrame, texts: DataFrame, candidates: DataFrame, forest
         "node", "row", "root", "copies", F.ceil(F.col("total") / forest.block_shingles).cast("int").alias("blocks")
     )
     # equal rows of a class (same id and text) count once
-    one_text = texts.join(members, ["node", "row"]).dropDuplicates(["node", "row"])
+    one_text = texts.join(members.hint("merge"), ["node", "row"]).dropDuplicates(["node", "row"])
     sets = one_text.select("node", "root", "copies", "blocks", "text").mapInArrow(
         _shingle_sets(forest.width), "node binary, root binary, copies long, blocks int, shingles binary"
     )

@@ -17,11 +17,11 @@ from utterset.session import cut_lineage
 def _with_least(near: DataFrame) -> DataFrame:
     """Add to each (node, other) the least of the node and its others.
 
-    Least neighbours are grouped with a map-side combine and joined back, so a
-    node with very many links is a skewed join, not one task's group.
+    Least neighbours are grouped with a map-side combine, written, and joined back:
+    a node with very many links is then a skewed join that can be split.
     """
     least = near.groupBy("node").agg(F.min("other").alias("least"))
-    least = least.select("node", F.least("least", "node").alias("least"))
+    least = cut_lineage(least.select("node", F.least("least", "node").alias("least")), "least")
     return near.join(least, "node")
 
 
