@@ -219,7 +219,8 @@ def format_chats(
     """(conv_id, part, cost, n_turns, n_turns_out, actions, rendered) from (conv_id, turn, role, text).
 
     A conversation is its parts in order; one of up to ``chunk`` consecutive turn
-    numbers has one part.  ``cost`` is the whole conversation's.  Turns go by
+    numbers has one part.  ``cost`` is the whole conversation's; of several repairs
+    of that cost, which one is taken depends on the parts.  Turns go by
     number, then role, then text; a null number comes last, and those of one
     conversation share a part.  Roles are read without case and outer white space; a null or other
     role is unknown and always relabelled.  Null texts are empty; repeated rows
