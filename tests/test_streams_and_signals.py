@@ -270,3 +270,28 @@ def test_probes_separate_what_is_separable(spark):
         assert out.count() == 240 and out.where("label = prediction").count() > 225
     mlp = probes.mlp_probe(df.where("fold < 3"), df.where("fold = 3"), vector="x", label="label", hidden=8, max_iter=50)
     assert mlp.where("label = prediction").count() > 52
+
+
+def test_equal_items_are_stored_once(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from utterset.streaming import features
+
+    schema = ", ".join(f"{key} string" for key in features.KEYS)
+    items = spark.createDataFrame([("x",) * len(features.KEYS)] * 2, schema)
+    path = f"{tmp_path}/store"
+    extract = lambda rows: rows.withColumn("features", F.array(F.lit(1.0)))
+    assert features.update_features(spark, items, path, extract) == 1
+    assert features.update_features(spark, items, path, extract) == 0
+    assert spark.read.parquet(path).count() == 1
+
+
+def test_every_broken_rule_is_named(spark):
+    import pytest
+
+    from utterset import violations as v
+
+    rows = spark.createDataFrame([(f"rule{i}", f"k{i}", "d") for i in range(150)], "rule string, key string, detail string")
+    with pytest.raises(v.ContractError) as error:
+        v.assert_empty(rows)
+    assert all(f"rule{i}: k{i}" in str(error.value) for i in range(150))

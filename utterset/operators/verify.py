@@ -390,7 +390,7 @@ def sample_trials(
     )
     local = F.col("rank") - F.col("t_low")
     guess = F.floor((1 + F.sqrt(1.0 + 8.0 * local.cast("double"))) / 2).cast("long")
-    low_of = lambda q: F.floor(q * (q - 1) / 2)
+    low_of = lambda q: F.shiftright(q * (q - 1), 1)
     q = (
         F.when(low_of(guess) > local, guess - 1)
         .when(low_of(guess + 1) <= local, guess + 1)
@@ -411,7 +411,7 @@ def sample_trials(
     far = F.col("rank") - F.col("n_low")
     partners = found_n.select(
         F.col("spk").alias("spk_a"),
-        F.floor(far / F.col("start")).cast("long").alias("qa"),
+        F.expr("(rank - n_low) div start").alias("qa"),  # doubles are inexact from 2^53 on
         F.pmod(far, F.col("start")).alias("partner"),
     )
     n_rows = rows.count()

@@ -31,7 +31,7 @@ def update_features(
     """Extract and append features of new or changed items; returns their number.
 
     ``items``: (item, content_hash, extractor, ...); ``extract`` adds
-    ``features``.  Stored rows are never rewritten.
+    ``features``.  Stored rows are never rewritten; equal items are extracted once.
     """
     try:
         stored = spark.read.parquet(path)
@@ -39,7 +39,7 @@ def update_features(
         if "PATH_NOT_FOUND" not in str(exc):
             raise
         stored = None
-    fresh = extract(missing_items(items, stored)).select(*KEYS, "features")
+    fresh = extract(missing_items(items, stored).dropDuplicates(KEYS)).select(*KEYS, "features")
     fresh.write.mode("append").parquet(path)
     after = spark.read.parquet(path).count()
     return after - (stored.count() if stored is not None else 0)

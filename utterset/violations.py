@@ -62,6 +62,6 @@ def examples(violations: DataFrame, k: int = 5) -> DataFrame:
 
 def assert_empty(violations: DataFrame, k: int = 5) -> None:
     """Raise with up to ``k`` examples per rule."""
-    rows = examples(violations, k).limit(100).collect()
+    rows = examples(violations, k).orderBy("rule", "rank").collect()
     if rows:
         raise ContractError("; ".join(f"{r.rule}: {r.key} ({r.detail})" for r in rows))
