@@ -128,3 +128,5 @@ register("regspeech12", "table_with_files", language="bn", table="train.csv", fo
 register("bengaliai_speech", "table_with_files", language="bn", table="train.csv", folder="train_mp3s",
          id_names=("id",), text_names=("sentence",), extensions=(".mp3",))
 register("indicvoices", "extracted_with_cache", language="bn")
+for _name in ("subak_ko", "shrutilipi", "kathbath"):
+    register(_name, "inline_parquet", language="bn")
