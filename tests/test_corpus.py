@@ -289,9 +289,13 @@ def test_next_fit_respects_the_target(spark):
     assert out.count() == 2001
     # closed shards are well filled: at most one open shard per bucket stays small
     assert table.where(F.col("bytes") < 15000).count() <= 16 + 1
-    automatic = shards.assign_shards(df, key="id", size="size", target=30000, seed=1, shards_per_bucket=2)
-    assert automatic.select(F.length("shard").alias("l")).distinct().count() == 1
-    assert shards.oversized(df.withColumn("size", F.col("size") * 100000), "id", "size").count() > 0
+    # a larger table keeps its keys' buckets
+    tenfold = df.unionByName(spark.range(100000, 120000).select("id", F.lit(500).cast("long").alias("size")))
+    bucket = F.substring("shard", 1, 8).alias("bucket")
+    more = shards.assign_shards(tenfold, key="id", size="size", target=30000, seed=1, digits=1).select("id", bucket)
+    assert out.select("id", bucket).join(more, ["id", "bucket"]).count() == 2001
+    with pytest.raises(ValueError, match="above_shard_cap"):
+        shards.assign_shards(df.withColumn("size", F.col("size") * 100000), key="id", size="size", target=30000, seed=1, digits=1)
 
 
 def test_descriptor_rules(spark):

@@ -266,6 +266,24 @@ def test_alignment_rules(spark):
         v.assert_empty(bootstrap.check_invariants(entries, ["speaker_id"]))
 
 
+def test_bootstraps_refuse_unpaired_entries(spark):
+    schema = "system string, ord int, seed string, unit_id string, metric string, value double"
+    good = [(s, o, "0", u, "m", 1.0 + o) for o, s in enumerate("ab") for u in ("u1", "u2")]
+    faults = {
+        "missing_unit": good[:-1], "duplicate_unit": [*good, good[0]], "two_systems": good[:2],
+        "finite_value": [*good[:-1], ("b", 1, "0", "u2", "m", float("nan"))],
+    }
+    for rule, data in faults.items():
+        with pytest.raises(v.ContractError, match=rule):
+            bootstrap.bootstrap_mean(spark.createDataFrame(data, schema), replicates=2, seed=1)
+    said = [(s, o, "0", "u1", "x y" if s == "a" else "x z", "x y") for o, s in enumerate("ab")]
+    with pytest.raises(v.ContractError, match="invariant"):
+        bootstrap.bootstrap_rate(
+            spark.createDataFrame(said, "system string, ord int, seed string, unit_id string, reference string, hypothesis string"),
+            replicates=2, seed=1,
+        )
+
+
 def test_finite_check(spark):
     df = spark.createDataFrame([("u", 1.0), ("v", float("nan")), ("w", float("inf")), ("x", None)], "unit_id string, value double")
     assert {r["key"] for r in bootstrap.check_finite(df).collect()} == {"v", "w", "x"}

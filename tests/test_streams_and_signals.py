@@ -168,7 +168,7 @@ def test_pair_metrics_keep_failures(spark):
 
 def test_augmented_views_are_repeatable(spark):
     df, _, _ = waves(spark, n=3, length=400)
-    cfg = signals.Augment(gain_prob=1.0, noise_prob=1.0, lowpass_prob=1.0, clip_prob=1.0)
+    cfg = {k: signals.Effect(1.0, e.low, e.high) for k, e in signals.EFFECTS.items()}
 
     def run(parts):
         out = signals.augment_views(df.repartition(parts), cfg, key="k", samples="x", sample_rate=16000, global_views=2, local_views=1, seed=5)
@@ -176,8 +176,9 @@ def test_augmented_views_are_repeatable(spark):
 
     one, two = run(1), run(3)
     assert len(one) == 9 and all(np.allclose(one[k]["x"], two[k]["x"]) for k in one)
-    assert all(cfg.gain_min <= r["gain"] <= cfg.gain_max and r["clip"] < 0.99 for r in one.values())
-    none = signals.augment_views(df, signals.Augment(gain_prob=0, noise_prob=0), key="k", samples="x", sample_rate=16000, global_views=1, local_views=0, seed=5)
+    assert all(cfg["gain"].low <= r["gain"] <= cfg["gain"].high and r["clip"] < 0.99 for r in one.values())
+    off = {k: signals.Effect(0.0, e.low, e.high) for k, e in signals.EFFECTS.items()}
+    none = signals.augment_views(df, off, key="k", samples="x", sample_rate=16000, global_views=1, local_views=0, seed=5)
     assert np.allclose(none.where("k = 0").first()["x"], df.where("k = 0").first()["x"])
 
 

@@ -76,6 +76,26 @@ def check_finite(entries: DataFrame, value: str = "value", unit: str = "unit_id"
     )
 
 
+def refuse_unpaired(
+    entries: DataFrame, unit: str, *, also: str | None = None, fixed: Sequence[str] = (), value: str | None = None
+) -> None:
+    """Raise unless systems and seeds are comparable unit by unit.
+
+    ``also`` is a column that makes a unit together with ``unit`` (the metric);
+    ``fixed`` columns must agree across systems, ``value`` must be finite.
+    """
+    name = unit
+    if also:
+        name = "_unit"
+        entries = entries.withColumn(name, F.concat_ws(" of ", also, unit))
+    found = [check_alignment(entries, name)]
+    if fixed:
+        found.append(check_invariants(entries, fixed, name))
+    if value:
+        found.append(check_finite(entries, value, name))
+    v.assert_empty(v.union_all(found))
+
+
 def set_difference(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """(key, side): keys found on one side only."""
     a, b = left.select(key).distinct(), right.select(key).distinct()
@@ -261,8 +281,10 @@ def bootstrap_mean(
 ) -> DataFrame:
     """Mean metric per system: utterance resamples, averaged over seeds.
 
-    ``entries``: (system, ord, seed, unit_id, metric, value).
+    ``entries``: (system, ord, seed, unit_id, metric, value).  Unequal units,
+    values that are not finite and a single system raise.
     """
+    refuse_unpaired(entries, unit, also="metric", value="value")
     cells = _cells(entries, ["metric"])
     points, boot = _additive(entries, unit, {"n": "value"}, cells, replicates, seed, lambda a, b: a / b)
     return bootstrap_summary(points, boot, confidence=confidence)
@@ -273,8 +295,10 @@ def bootstrap_rate(
 ) -> DataFrame:
     """Error rate per system: ratio of sums in every replicate.
 
-    ``entries``: (system, ord, seed, unit_id, reference, hypothesis).
+    ``entries``: (system, ord, seed, unit_id, reference, hypothesis).  Unequal
+    units, a changed reference and a single system raise.
     """
+    refuse_unpaired(entries, unit, fixed=["reference"])
     cells = [(*c, m) for c in _cells(entries) for m in ("wer", "cer")]
     counts = asr.asr_counts(entries)
     long = counts.select(
@@ -325,11 +349,13 @@ def bootstrap_cluster(
     """Classification scores with speakers as the resampled clusters.
 
     ``entries``: (system, ord, seed, unit_id, speaker_id, fold, gold,
-    prediction).  An attempt that empties a fold is drawn again.
+    prediction).  An attempt that empties a fold is drawn again.  Unequal units, a
+    changed speaker, fold or gold label and a single system raise.
     """
     spark = entries.sparkSession
     if score not in ("accuracy", "balanced_accuracy"):
-        raise ValueError(f"unsupported classification score: {score}")
+        raise ValueError(f"score is accuracy or balanced_accuracy, not {score}")
+    refuse_unpaired(entries, "unit_id", fixed=["speaker_id", "fold", "gold"])
     keys = ["system", "ord", "seed"]
     cells = entries.groupBy("speaker_id", *keys, "fold", "gold", "prediction").agg(
         F.count(F.lit(1)).cast("double").alias("w")
@@ -400,9 +426,11 @@ def bootstrap_verification(
     """EER and minimum cost, resampling speakers or trials.
 
     ``entries``: (system, ord, seed, trial_id, spk_a, spk_b, label, score).
-    Draws without both kinds of trial are drawn again.
+    Draws without both kinds of trial are drawn again.  Unequal trials, changed
+    speakers or labels, scores that are not finite and a single system raise.
     """
     spark = entries.sparkSession
+    refuse_unpaired(entries, "trial_id", fixed=["spk_a", "spk_b", "label"], value="score")
     keys = ["system", "ord", "seed"]
     # one trial list serves every system and seed
     base = sized(entries.select("trial_id", "spk_a", "spk_b", "label").dropDuplicates(["trial_id"]))
@@ -486,7 +514,7 @@ def analyze(
 ) -> DataFrame:
     """Statistics of all tasks, ``{task: entries}``, as one table."""
     if replicates < 1:
-        raise ValueError("replicates must be positive")
+        raise ValueError(f"at least one replicate is needed, not {replicates}")
     results = []
     for task in sorted(entries):
         run = KINDS[task_kind(task)]

@@ -57,12 +57,13 @@ def normalize_nulls(df: DataFrame, numbers: Sequence[str] = (), texts: Sequence[
     return out
 
 
-def with_sample_id(df: DataFrame, *, dataset: str = "dataset", row_id: str = "id") -> DataFrame:
+def with_sample_id(df: DataFrame, *, dataset: str = "dataset", row_id: str = "id", whole: str | None = None) -> DataFrame:
     """Add ``sample_id``, ``source_dataset`` and ``member_key``.
 
-    A row without ID is named by a digest of all its columns in sorted order.
+    A row without ID is named by a digest of column ``whole``, or else of all its
+    columns in sorted order.
     """
-    canonical = F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"})
+    canonical = F.col(whole) if whole else F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"})
     name = F.coalesce(F.nullif(F.col(dataset).cast("string"), F.lit("")), F.lit("unknown"))
     out = df.withColumn("sample_id", sample_id(F.col(dataset), F.col(row_id), canonical))
     return out.withColumn("source_dataset", name).withColumn("member_key", member_key(F.col("sample_id")))

@@ -30,22 +30,20 @@ def padded_bytes(payload: Column) -> Column:
 
 
 def assign_shards(
-    df: DataFrame, *, key: str, size: str, target: int, seed: int, shards_per_bucket: int = 64, digits: int | None = None
+    df: DataFrame, *, key: str, size: str, target: int, seed: int, digits: int
 ) -> DataFrame:
     """Add ``shard``: next-fit packing of rows in seeded order.
 
-    The seeded order is cut into hash ranges (buckets) of about
-    ``shards_per_bucket`` shards.  Inside a bucket (key, size) pairs stream once
-    in order through a task that remembers only the open shard and emits where
-    each shard starts.  A shard is an interval of the order, so rows find theirs
-    by comparing with their bucket's few starts: payload columns are not
-    shuffled.  Each bucket may leave one part-filled last shard.
+    The seeded order is cut into ``16**digits`` hash ranges (buckets).  The number
+    is a parameter, so a bucket holds the same keys whatever the table's size;
+    total size / (target * 16**digits) should be some tens of shards.  Inside a
+    bucket (key, size) pairs stream once in order through a task that remembers
+    only the open shard and emits where each shard starts.  A shard is an interval
+    of the order, so rows find theirs by comparing with their bucket's few starts:
+    payload columns are not shuffled.  Each bucket may leave one part-filled last
+    shard.  A row that no shard can hold raises.
     """
-    if digits is None:
-        total = df.agg(F.sum(size).alias("t")).first()["t"] or 0
-        digits, wanted = 0, total / (target * shards_per_bucket)
-        while 16**digits < wanted and digits < 5:
-            digits += 1
+    v.assert_empty(oversized(df, key, size))
     hashed = df.withColumn("_h", order_key(seed, "shard", key)).withColumn(
         "_bucket", F.substring("_h", 1, digits) if digits else F.lit("")
     )
@@ -70,7 +68,7 @@ def assign_shards(
         .sortWithinPartitions("bucket", "_h", "key")
         .mapInPandas(starts, f"bucket string, _h string, key {key_type}")
     )
-    # about `shards_per_bucket` starts to a bucket
+    # some tens of starts to a bucket
     table = begun.groupBy(F.col("bucket").alias("_bucket")).agg(
         F.collect_list(F.struct("_h", "key")).alias("_starts")
     )

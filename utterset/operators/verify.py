@@ -313,11 +313,8 @@ def all_pairs_metrics(
 
 def class_quotas(n_target: int, n_nontarget: int, max_trials: int) -> tuple[int, int]:
     """Half targets, the rest non-targets; a short class gives its share away."""
-    target = min(n_target, max_trials // 2)
-    nontarget = min(n_nontarget, max_trials - target)
-    target = min(n_target, target + (max_trials - target - nontarget))
-    nontarget = min(n_nontarget, max_trials - target)
-    return target, nontarget
+    target = min(n_target, max(max_trials // 2, max_trials - n_nontarget))
+    return target, min(n_nontarget, max_trials - target)
 
 
 def _draw_ranks(spark, space: int, k: int, seed: int, salt: str) -> DataFrame:

@@ -210,7 +210,7 @@ def mrstft_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out, "stft_sc", "stft_mag", "stft_log", "stft_loss")
 
 
-AUGMENT = signals.Augment(lowpass_prob=0.5, clip_prob=0.5)
+AUGMENT = signals.EFFECTS | {"cutoff": signals.Effect(0.5, 1000.0, 7000.0), "clip": signals.Effect(0.5, 0.5, 0.99)}
 
 
 def view_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -42,8 +42,10 @@ def read_manifest(spark: SparkSession, sources: str | Sequence[str]) -> DataFram
 def read_inventory(spark: SparkSession, source: str) -> tuple[DataFrame, DataFrame]:
     """(rows, violations) of one manifest under the strict rules.
 
-    Broken JSON, non-objects, missing paths, non-standard numbers and repeated
-    identities are named by ``file:byte-order line``; nothing is dropped silently.
+    Broken JSON, non-objects, missing paths and non-standard numbers are named by
+    12 digits of the line's digest and carry the whole line; repeated identities by
+    the identity.  A row without an ID is named by its whole content, unknown keys
+    included, with the keys of every level in order.
     """
     lines = _lines(spark, source).withColumn("extra", F.try_parse_json("value"))
     kind = F.schema_of_variant("extra")
@@ -57,10 +59,10 @@ def read_inventory(spark: SparkSession, source: str) -> tuple[DataFrame, DataFra
         lines.withColumn("_path", path),
         key,
         {
-            "non_finite_number": (odd_number, F.substring("value", 1, 80)),
-            "invalid_json": (F.col("extra").isNull() & ~odd_number, F.substring("value", 1, 80)),
-            "not_an_object": (F.col("extra").isNotNull() & ~is_object, F.substring("value", 1, 80)),
-            "missing_path": (is_object & (F.coalesce("_path", F.lit("")) == ""), F.substring("value", 1, 80)),
+            "non_finite_number": (odd_number, F.col("value")),
+            "invalid_json": (F.col("extra").isNull() & ~odd_number, F.col("value")),
+            "not_an_object": (F.col("extra").isNotNull() & ~is_object, F.col("value")),
+            "missing_path": (is_object & (F.coalesce("_path", F.lit("")) == ""), F.col("value")),
         },
     )
     good = lines.where(is_object & ~odd_number & (F.coalesce(path, F.lit("")) != ""))
@@ -68,7 +70,8 @@ def read_inventory(spark: SparkSession, source: str) -> tuple[DataFrame, DataFra
         F.try_variant_get("extra", f"$.{f.name}", _TYPES[f.dataType.simpleString()]).alias(f.name)
         for f in MANIFEST_SCHEMA.fields
     ]
-    rows = with_sample_id(good.select(*core))
+    # variants keep the keys of an object sorted
+    rows = with_sample_id(good.select(*core, F.to_json("extra").alias("_row")), whole="_row").drop("_row")
     repeated = v.duplicates(rows, "sample_id", "duplicate_sample")
     return rows, checked.unionByName(repeated)
 
