@@ -17,7 +17,7 @@ A word is a run of letters in lower case.
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -51,33 +51,31 @@ def grams_of(word: str, longest: int) -> Iterator[str]:
 
 
 def _counts(settings: Settings):
-    def flush(words: Counter) -> pa.RecordBatch:
-        grams: Counter = Counter()
-        for (lang, word), n in words.items():
+    def flush(lang: str, words: Counter) -> pa.RecordBatch:
+        grams: defaultdict[str, int] = defaultdict(int)
+        for word, n in words.items():
             for gram in grams_of(word, settings.longest):
-                grams[lang, gram] += n
+                grams[gram] += n
         keys = [*words, *grams]
         return pa.RecordBatch.from_arrays(
             [
-                pa.array([k[0] for k in keys], pa.string()),
-                pa.array([k[1] for k in keys], pa.string()),
-                pa.array([0] * len(words) + [len(k[1]) for k in grams], pa.int32()),
+                pa.array([lang] * len(keys), pa.string()),
+                pa.array(keys, pa.string()),
+                pa.array([0] * len(words) + [len(k) for k in grams], pa.int32()),
                 pa.array([*words.values(), *grams.values()], pa.int64()),
             ],
             names=["lang", "entry", "n", "count"],
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: Counter = Counter()
+        by_lang: defaultdict[str, Counter] = defaultdict(Counter)
         for batch in batches:
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text"), strict=True):
-                for word, n in Counter(LETTERS.findall(text.as_py().lower())).items():
-                    words[lang, word] += n
-                if len(words) >= FLUSH:
-                    yield flush(words)
-                    words.clear()
-        if words:
-            yield flush(words)
+                by_lang[lang].update(LETTERS.findall(text.as_py().lower()))
+                if sum(map(len, by_lang.values())) >= FLUSH:
+                    yield from (flush(*counted) for counted in by_lang.items())
+                    by_lang.clear()
+        yield from (flush(*counted) for counted in by_lang.items())
 
     return run
 
