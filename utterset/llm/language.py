@@ -22,6 +22,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
@@ -30,7 +31,8 @@ from pyspark.sql import functions as F
 from utterset.session import cut_lineage
 
 LETTERS = regex.compile(r"\p{L}+")
-FLUSH = 200_000  # distinct entries a task counts before it passes them on
+FLUSH = 200_000  # distinct tokens a task counts before it passes them on, or keeps scores of
+PART = 50_000  # tokens of a text scored at once
 
 
 @dataclass(frozen=True)
@@ -42,27 +44,47 @@ class Settings:
     smoothing: float = 0.5
 
 
-def grams_of(word: str, longest: int) -> Iterator[str]:
-    """All n-grams of a word with its ends marked, from 1 to ``longest`` characters."""
-    padded = f"<{word}>"
+def _padded(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of all words with their ends marked, one after another, and the word of each."""
+    codes = np.frombuffer("".join([f"<{word}>" for word in words]).encode("utf-32-le"), dtype=np.uint32)
+    return codes, np.repeat(np.arange(len(words)), [len(word) + 2 for word in words])
+
+
+def gram_counts(words: dict[str, int], longest: int) -> tuple[list[str], list[int], list[int]]:
+    """Distinct n-grams of counted words with marked ends, 1 to ``longest`` characters: text, length, count."""
+    codes, owner = _padded(list(words))
+    weight = np.array(list(words.values()), dtype=np.int64)
+    char, letters = pd.factorize(codes)
+    letters = [chr(c) for c in letters]
+    start, gram, names = np.arange(len(codes)), np.zeros(len(codes), dtype=np.int64), [""]
+    found, sizes, counts = [], [], []
     for n in range(1, longest + 1):
-        for i in range(len(padded) - n + 1):
-            yield padded[i : i + n]
+        inside = start + n <= len(codes)
+        inside[inside] = owner[start[inside] + n - 1] == owner[start[inside]]
+        start = start[inside]
+        gram, made = pd.factorize(gram[inside] * len(letters) + char[start + n - 1])
+        names = [names[key // len(letters)] + letters[key % len(letters)] for key in made.tolist()]
+        total = np.zeros(len(names), dtype=np.int64)
+        np.add.at(total, gram, weight[owner[start]])
+        found += names
+        sizes += [n] * len(names)
+        counts += total.tolist()
+    return found, sizes, counts
 
 
 def _counts(settings: Settings):
-    def flush(lang: str, words: Counter) -> pa.RecordBatch:
-        grams: defaultdict[str, int] = defaultdict(int)
-        for word, n in words.items():
-            for gram in grams_of(word, settings.longest):
-                grams[gram] += n
-        keys = [*words, *grams]
+    def flush(lang: str, tokens: Counter) -> pa.RecordBatch:
+        words: defaultdict[str, int] = defaultdict(int)
+        for token, n in tokens.items():
+            for word in LETTERS.findall(token):
+                words[word] += n
+        grams, sizes, counts = gram_counts(words, settings.longest)
         return pa.RecordBatch.from_arrays(
             [
-                pa.array([lang] * len(keys), pa.string()),
-                pa.array(keys, pa.string()),
-                pa.array([0] * len(words) + [len(k) for k in grams], pa.int32()),
-                pa.array([*words.values(), *grams.values()], pa.int64()),
+                pa.array([lang] * (len(words) + len(grams)), pa.string()),
+                pa.array([*words, *grams], pa.string()),
+                pa.array([0] * len(words) + sizes, pa.int32()),
+                pa.array([*words.values(), *counts], pa.int64()),
             ],
             names=["lang", "entry", "n", "count"],
         )
@@ -71,7 +93,7 @@ def _counts(settings: Settings):
         by_lang: defaultdict[str, Counter] = defaultdict(Counter)
         for batch in batches:
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text"), strict=True):
-                by_lang[lang].update(LETTERS.findall(text.as_py().lower()))
+                by_lang[lang].update(text.as_py().lower().split())
                 if sum(map(len, by_lang.values())) >= FLUSH:
                     yield from (flush(*counted) for counted in by_lang.items())
                     by_lang.clear()
@@ -104,47 +126,104 @@ class Model:
             total[i] = [totals.get((lang, n), 0) for lang in langs]
         alpha = settings.smoothing
         self.logs = np.log((count + alpha) / (total + alpha * max(1, len(entries))))
-        self.unseen: dict[str, np.ndarray] = {}
-
-    def backed_off(self, word: str) -> np.ndarray:
-        """Log score of an unseen word: at each place the longest known n-gram that ends there."""
-        known = self.unseen.get(word)
-        if known is not None:
-            return known
-        padded, longest, grams = f"<{word}>", self.settings.longest, self.grams
-        found, steps = [], 0
-        for end in range(2, len(padded) + 1):
-            for n in range(min(longest, end), 0, -1):
-                at = grams.get(padded[end - n : end])
-                if at is not None:
-                    found.append(at)
-                    steps += longest - n
-                    break
-        score = self.logs[found].sum(axis=0) + steps * np.log(self.settings.penalty)
-        score /= max(1, len(word))  # one word's weight, not one per place
-        if len(word) <= 40:
-            if len(self.unseen) >= 200_000:
-                self.unseen.clear()
-            self.unseen[word] = score
+        self._plant()
+        self.scored = TokenScores(self)
+
+    def _plant(self) -> None:
+        """Trie of the n-grams as sorted arrays: (node, letter) -> node, node -> row of ``logs``."""
+        self.alphabet = np.array(sorted({ord(c) for gram in self.grams for c in gram}) or [0], dtype=np.uint32)
+        letter = {chr(c): i for i, c in enumerate(self.alphabet.tolist())}
+        edges: dict[int, int] = {}
+        rows = {}
+        for gram, row in self.grams.items():
+            node = 0
+            for c in gram:
+                node = edges.setdefault(node * len(letter) + letter[c], len(edges) + 1)
+            rows[node] = row
+        self.edges = np.array(sorted(edges) or [-1], dtype=np.int64)
+        self.nodes = np.array([edges.get(e, 0) for e in self.edges.tolist()])
+        self.rows = np.array([rows.get(node, -1) for node in range(len(edges) + 1)])
+
+    def backed_off(self, words: list[str]) -> np.ndarray:
+        """Log scores of unseen words: at each place the longest known n-gram that ends there."""
+        codes, owner = _padded(words)
+        letter = np.minimum(np.searchsorted(self.alphabet, codes), len(self.alphabet) - 1)
+        known = self.alphabet[letter] == codes
+        row, size = np.full(len(codes), -1), np.zeros(len(codes), dtype=np.int64)
+        start, node = np.arange(len(codes)), np.zeros(len(codes), dtype=np.int64)
+        for n in range(1, self.settings.longest + 1):
+            inside = start + n <= len(codes)
+            start, node = start[inside], node[inside]
+            end = start + n - 1
+            edge = node * len(self.alphabet) + letter[end]
+            at = np.minimum(np.searchsorted(self.edges, edge), len(self.edges) - 1)
+            live = (self.edges[at] == edge) & known[end] & (owner[end] == owner[start])
+            start, node, end = start[live], self.nodes[at[live]], end[live]
+            is_gram = self.rows[node] >= 0
+            row[end[is_gram]] = self.rows[node[is_gram]]  # longer ones come later and replace shorter ones
+            size[end[is_gram]] = n
+        used = (row >= 0) & (np.diff(owner, prepend=-1) == 0)  # not the mark that begins a word
+        row, size, owner = row[used], size[used], owner[used]
+        steps = np.bincount(owner, self.settings.longest - size, len(words))
+        score = np.stack([np.bincount(owner, one[row], len(words)) for one in self.logs.T], axis=1)
+        score += (steps * np.log(self.settings.penalty))[:, None]
+        return score / np.array([[max(1, len(word))] for word in words])  # one word's weight, not one per place
+
+    def token_scores(self, tokens: list[str]) -> np.ndarray:
+        """Log scores of the words of each token, then their number."""
+        owner, at, unseen, unseen_owner = [], [], [], []
+        for i, token in enumerate(tokens):
+            for word in [token] if token.isalpha() else LETTERS.findall(token):
+                row = self.words.get(word)
+                if row is None:
+                    unseen.append(word)
+                    unseen_owner.append(i)
+                else:
+                    at.append(row)
+                    owner.append(i)
+        score = np.zeros((len(tokens), len(self.langs) + 1))
+        if at:
+            np.add.at(score[:, :-1], owner, self.logs[at])
+        if unseen:
+            np.add.at(score[:, :-1], unseen_owner, self.backed_off(unseen))
+        score[:, -1] = np.bincount(np.array(owner + unseen_owner, dtype=np.int64), minlength=len(tokens))
         return score
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        words = LETTERS.findall(text.lower()) if text else []
-        if not words or not self.langs:
+        total = self.scored.total(text.lower().split()) if text and self.langs else [0]
+        if not total[-1]:
             return "und", 0.0
-        found = list(map(self.words.get, words))
-        seen = [i for i in found if i is not None]
-        score = np.zeros(len(self.langs))
-        if seen:
-            score = score + self.logs[np.array(seen)].sum(axis=0)
-        if len(seen) < len(words):
-            for word, i in zip(words, found, strict=True):
-                if i is None:
-                    score = score + self.backed_off(word)
+        score = total[:-1]
         best = int(np.argmax(score))  # ties go to the first language by name
         return self.langs[best], float(1 / np.exp(score - score[best]).sum())
 
 
+class TokenScores:
+    """Scores of the tokens met so far, one row each."""
+
+    def __init__(self, model: Model):
+        self.model = model
+        self.place: dict[str, int] = {}
+        self.rows = np.zeros((1024, len(model.langs) + 1))
+
+    def total(self, tokens: list[str]) -> np.ndarray:
+        """Sum over the tokens; the sum does not depend on what was met before."""
+        total = np.zeros(self.rows.shape[1])
+        for i in range(0, len(tokens), PART):
+            part = tokens[i : i + PART]
+            new = [t for t in dict.fromkeys(part) if t not in self.place]
+            if new:
+                filled = len(self.place)
+                self.place.update(zip(new, range(filled, filled + len(new)), strict=True))
+                while len(self.place) > len(self.rows):
+                    self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+                self.rows[filled : len(self.place)] = self.model.token_scores(new)
+            total += self.rows[list(map(self.place.__getitem__, part))].sum(axis=0)
+            if len(self.place) >= FLUSH:
+                self.place.clear()
+        return total
+
+
 def train(labelled: DataFrame, settings: Settings = Settings()) -> Model:
     """Model of (lang, text); rows with a null are left out, no rows give a model that answers ``und``.
 
