@@ -18,7 +18,7 @@ A word is a run of letters in lower case.
 from __future__ import annotations
 
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,7 +32,7 @@ from utterset.session import cut_lineage
 
 LETTERS = regex.compile(r"\p{L}+")
 FLUSH = 200_000  # distinct tokens a task counts before it passes them on, or keeps scores of
-PART = 50_000  # tokens of a text scored at once
+PART = 50_000  # tokens scored at once
 
 
 @dataclass(frozen=True)
@@ -189,13 +189,17 @@ class Model:
         score[:, -1] = np.bincount(np.array(owner + unseen_owner, dtype=np.int64), minlength=len(tokens))
         return score
 
-    def predict(self, text: str | None) -> tuple[str, float]:
-        total = self.scored.total(text.lower().split()) if text and self.langs else [0]
-        if not total[-1]:
-            return "und", 0.0
-        score = total[:-1]
-        best = int(np.argmax(score))  # ties go to the first language by name
-        return self.langs[best], float(1 / np.exp(score - score[best]).sum())
+    def predict(self, texts: Iterable[str | None]) -> Iterator[tuple[str, float]]:
+        """Language and score of each text."""
+        if not self.langs:
+            yield from (("und", 0.0) for _ in texts)
+            return
+        for totals in self.scored.totals(texts):
+            scores = totals[:, :-1]
+            best = np.argmax(scores, axis=1)  # ties go to the first language by name
+            share = 1 / np.exp(scores - scores.max(axis=1, keepdims=True)).sum(axis=1)
+            for at, value, words in zip(best.tolist(), share.tolist(), totals[:, -1].tolist(), strict=True):
+                yield (self.langs[at], value) if words else ("und", 0.0)
 
 
 class TokenScores:
@@ -206,22 +210,31 @@ class TokenScores:
         self.place: dict[str, int] = {}
         self.rows = np.zeros((1024, len(model.langs) + 1))
 
-    def total(self, tokens: list[str]) -> np.ndarray:
-        """Sum over the tokens; the sum does not depend on what was met before."""
-        total = np.zeros(self.rows.shape[1])
-        for i in range(0, len(tokens), PART):
-            part = tokens[i : i + PART]
-            new = [t for t in dict.fromkeys(part) if t not in self.place]
-            if new:
-                filled = len(self.place)
-                self.place.update(zip(new, range(filled, filled + len(new)), strict=True))
-                while len(self.place) > len(self.rows):
-                    self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-                self.rows[filled : len(self.place)] = self.model.token_scores(new)
-            total += self.rows[list(map(self.place.__getitem__, part))].sum(axis=0)
-            if len(self.place) >= FLUSH:
-                self.place.clear()
-        return total
+    def totals(self, texts: Iterable[str | None]) -> Iterator[np.ndarray]:
+        """One row per text, in blocks of whole texts; a text's sum does not depend on its neighbours."""
+        tokens, ends = [], [0]
+        for text in texts:
+            tokens += text.lower().split() if text else []
+            ends.append(len(tokens))
+            if len(tokens) >= PART:
+                yield self._sums(tokens, ends)
+                tokens, ends = [], [0]
+        yield self._sums(tokens, ends)
+
+    def _sums(self, tokens: list[str], ends: list[int]) -> np.ndarray:
+        new = [t for t in dict.fromkeys(tokens) if t not in self.place]
+        if new:
+            filled = len(self.place)
+            self.place.update(zip(new, range(filled, filled + len(new)), strict=True))
+            while len(self.place) > len(self.rows):
+                self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+            self.rows[filled : len(self.place)] = self.model.token_scores(new)
+        at = np.fromiter(map(self.place.__getitem__, tokens), dtype=np.int64, count=len(tokens))
+        owner = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
+        sums = [np.bincount(owner, one[at], len(ends) - 1) for one in self.rows.T]
+        if len(self.place) >= FLUSH:
+            self.place.clear()
+        return np.stack(sums, axis=1)
 
 
 def train(labelled: DataFrame, settings: Settings = Settings()) -> Model:
@@ -251,7 +264,7 @@ def _predicted(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         predict = model.value.predict
         for batch in batches:
-            found = [predict(text.as_py()) for text in batch.column("text")]
+            found = list(predict(text.as_py() for text in batch.column("text")))
             yield pa.RecordBatch.from_arrays(
                 [
                     *[batch.column(c) for c in batch.schema.names if c != "text"],
