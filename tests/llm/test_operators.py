@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -169,6 +170,37 @@ def test_passages(docs, rows, none):
     assert passages.find_repeats(none).count() == 0 and passages.without_repeats(none).count() == 0
 
 
+def windows_of(text, params):
+    """Packed windows of one text, all functions."""
+    batch = pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), pa.array([text])], names=["doc", "text"])
+    return np.concatenate([b.column("window").to_numpy() for b in passages._windows(params)([batch])])
+
+
+def test_passage_in_a_self_repeating_anchor():
+    """Any of very many equal places of the anchor may be the one that the passage was taken from."""
+    rng, params = random.Random(8), passages.Windows()
+    lines = [words(rng, 10) for _ in range(12)]
+    anchor = " ".join(rng.choice(lines) for _ in range(800)).split()
+    for at in (1503, 3998, 6001):
+        for piece in (anchor[at : at + 60], [*anchor[at : at + 30], "changed", *anchor[at + 31 : at + 60]]):
+            mine, theirs = passages._flat_shingles(pa.array([" ".join(piece), " ".join(anchor)]), params.width)
+            exact = "changed" not in piece
+            found = passages.verify(mine, theirs, windows_of(" ".join(piece), params), params)
+            if exact:
+                assert [f[:2] for f in found] == [(0, 56)]
+            for start, stop, other, similarity in found:
+                x, y = set(mine[start : start + params.run].tolist()), set(theirs[other : other + params.run].tolist())
+                assert len(x & y) >= 0.8 * len(x | y) - 1e-9 and similarity >= 0.8 and stop - start >= params.run
+
+
+def test_passages_of_one_value():
+    """A text of one word over and over has as many alignments as pairs of places."""
+    params = passages.Windows()
+    mine, theirs = passages._flat_shingles(pa.array(["la " * 6000, "la " * 5000]), params.width)
+    found = passages.verify(mine, theirs, windows_of("la " * 6000, params), params)
+    assert [f[:2] for f in found] == [(0, 5996)]
+
+
 def test_mixing(docs, rows, none):
     got = mixing.mix(docs).collect()
     assert sorted(map(str, got)) == sorted(map(str, mixing.mix(docs.repartition(5)).collect()))
