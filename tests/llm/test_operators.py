@@ -201,6 +201,22 @@ def test_passages_of_one_value():
     assert [f[:2] for f in found] == [(0, 5996)]
 
 
+def planted(spark, changed):
+    """Rows of 30 passages of 60 words: (3k, less similar), (3k + 1, near by ``changed`` words), (3k + 2, as it is)."""
+    rng, made = random.Random(9), []
+    for k in range(30):
+        own = words(rng, 60).split()
+        for j, places in enumerate(((10, 25, 40), changed, ())):
+            made.append((3 * k + j, " ".join(f"new{j}x{i}" if i in places else w for i, w in enumerate(own))))
+    return spark.createDataFrame(made, "doc_id long, text string")
+
+
+def test_passage_behind_a_less_similar_document(spark):
+    """A smaller document that shares the minima but is no near copy does not hide the real partner."""
+    got = {(r.doc_id, r.of_doc_id) for r in passages.find_repeats(planted(spark, ())).where("n_words = 60").collect()}
+    assert {(3 * k + 2, 3 * k + 1) for k in range(30)} <= got
+
+
 def test_mixing(docs, rows, none):
     got = mixing.mix(docs).collect()
     assert sorted(map(str, got)) == sorted(map(str, mixing.mix(docs.repartition(5)).collect()))
