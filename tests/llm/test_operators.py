@@ -217,6 +217,18 @@ def test_passage_behind_a_less_similar_document(spark):
     assert {(3 * k + 2, 3 * k + 1) for k in range(30)} <= got
 
 
+def test_near_passages(spark):
+    """A changed word well inside a passage leaves each of its 51-word runs near equal."""
+    held = {}
+    for r in passages.find_repeats(planted(spark, (30,))).collect():
+        held.setdefault(r.doc_id, set()).update(range(r.first_word, r.first_word + r.n_words))
+    assert all(held.get(3 * k + 2) == set(range(60)) for k in range(30))
+
+
+def test_passage_recall():
+    assert passages.Windows().recall_at(0.8) >= 0.9998
+
+
 def test_mixing(docs, rows, none):
     got = mixing.mix(docs).collect()
     assert sorted(map(str, got)) == sorted(map(str, mixing.mix(docs.repartition(5)).collect()))
