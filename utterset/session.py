@@ -54,6 +54,35 @@ def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Written tables of one operator below the shared folder, each dropped when its last reader is done.
+
+    ``keep`` writes a table and reads it back, as ``cut_lineage`` does; ``drop``
+    deletes it.  Drop a table only when everything made from it has been written:
+    a lost executor's work is then redone from the later tables.
+    """
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark = spark
+        self.path = scratch_path(spark, name)
+        self._paths: dict[int, tuple[DataFrame, str]] = {}
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{self.path}/{len(self._paths):02d}-{name}-{uuid.uuid4().hex[:6]}"
+        df.write.parquet(path)
+        kept = self.spark.read.schema(df.schema).parquet(path)
+        self._paths[id(kept)] = (kept, path)
+        return kept
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete tables that ``keep`` returned; others are left alone."""
+        for table in tables:
+            _, path = self._paths.pop(id(table), (None, None))
+            if path:
+                at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+                at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def sized(df: DataFrame) -> DataFrame:
     """Cache a derived lookup side so that the planner knows its true size.
 
