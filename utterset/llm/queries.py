@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from utterset.llm import chat, jaccard, language, mixing, passages, pieces, quality, sharding, topk, urls
+from utterset.llm import (
+    chat, convtrie, jaccard, language, licences, mixing, passages, pieces, quality, rtree, sharding, topk, urls,
+)
 from utterset.queries.common import table
 
 #: Fixed rules of the URL query.
@@ -16,6 +18,12 @@ URL_RULES = (
     ("allow", "com/fr/"),
     ("block", "com/de/"),
 )
+#: Fixed phrases of the licence query.
+PHRASES = (
+    licences.Template("mit", "under the mit license"),
+    licences.Template("apache-2", "apache license version 2"),
+    licences.Template("cc-by-nc", "cc by nc"),
+)
 MODEL = "piece_bpe_32k.model"
 
 
@@ -78,11 +86,25 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
+def op11_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents"), PHRASES)
+
+
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return convtrie.shared_prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return rtree.hard_negatives(rows.withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_mix_sources, op2_language, op3_ngram_jaccard, op4_repeated_passages, op5_quality_rules, op6_shards,
-        op7_chat_format, op8_url_filter, op9_sentencepiece, op10_top_k,
+        op7_chat_format, op8_url_filter, op9_sentencepiece, op10_top_k, op11_licences, op12_conversation_trie, op13_hard_negatives,
     )
 }
 
@@ -174,9 +196,121 @@ ranked AS (
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """
 
+OP11_SQL = """
+WITH templates(template, label, phrase, body) AS (VALUES {templates}),
+read AS (
+  SELECT 'd' AS kind, row_number() OVER () AS id, doc_id, coalesce(text, '') AS body FROM documents
+  UNION ALL SELECT 't', template, NULL, body FROM templates),
+tokens AS (
+  SELECT kind, id, doc_id, regexp_extract_all(translate(body, '{upper}', '{lower}'), '{word}') AS w FROM read),
+grams AS (SELECT kind, id, len(w) AS n, unnest(range(len(w) - 2)) AS spot, w FROM tokens WHERE len(w) > 2),
+keyed AS (SELECT kind, id, n, spot, w[spot + 1:spot + 3] AS gram FROM grams),
+hits AS (
+  SELECT d.id, t.id AS template, d.spot AS place, t.spot, d.spot - t.spot AS diagonal
+  FROM keyed d JOIN keyed t ON d.gram = t.gram AND d.kind = 'd' AND t.kind = 't'),
+lengths AS (SELECT template, label, phrase, len(w) AS n FROM templates JOIN tokens ON kind = 't' AND id = template),
+votes AS (SELECT id, template, diagonal, count(*) AS votes FROM hits GROUP BY ALL),
+stated AS (
+  SELECT id, label, diagonal AS place, 1.0::DOUBLE AS score
+  FROM votes JOIN lengths USING (template) WHERE phrase AND votes = n - 2),
+leads AS (
+  SELECT a.id, a.template, a.diagonal, label, n FROM votes a JOIN lengths USING (template)
+  WHERE NOT phrase AND NOT EXISTS (
+    FROM votes b WHERE b.id = a.id AND b.template = a.template AND abs(b.diagonal - a.diagonal) <= n // 4
+      AND (b.votes > a.votes OR (b.votes = a.votes AND b.diagonal < a.diagonal)))),
+merged AS (
+  SELECT l.id, l.template, l.label, l.n, l.diagonal, h.spot, h.place
+  FROM leads l JOIN hits h ON h.id = l.id AND h.template = l.template AND abs(h.diagonal - l.diagonal) <= n // 4),
+covered AS (
+  SELECT id, template, diagonal, least(count(DISTINCT spot + k), count(DISTINCT place + k)) AS shared
+  FROM merged, range(3) AS r(k) GROUP BY ALL),
+spans AS (
+  SELECT id, template, label, lo, hi, shared, shared / greatest(n, hi - lo + 1) AS score
+  FROM (SELECT id, template, label, n, diagonal, min(place) AS lo, max(place) + 2 AS hi FROM merged GROUP BY ALL)
+  JOIN covered USING (id, template, diagonal)),
+good AS (FROM spans WHERE score >= 0.8),
+alike AS (
+  SELECT id, label, score FROM good a WHERE NOT EXISTS (
+    FROM good b WHERE a.id = b.id AND b.lo <= a.hi AND b.hi >= a.lo
+      AND (b.score, b.shared, -b.template, -b.lo) > (a.score, a.shared, -a.template, -a.lo))),
+judged AS (
+  SELECT id, count(place) AS n_base, min(place) AS first_word, max(place) AS last_word,
+         coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (place IS NOT NULL), '') AS base_labels,
+         string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(score) AS score
+  FROM (SELECT * FROM stated UNION ALL SELECT id, label, NULL, score FROM alike) GROUP BY id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word,
+       last_word::BIGINT AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+       coalesce(score, 0)::DOUBLE AS score
+FROM tokens LEFT JOIN judged USING (id) WHERE kind = 'd'
+""".format(
+    templates=", ".join(
+        f"({i}, '{t.label}', {i < len(PHRASES)}, '{t.text}')" for i, t in enumerate([*PHRASES, *licences.NOTICES])
+    ),
+    upper=licences.UPPER, lower=licences.LOWER, word=licences.WORD,
+)
+
+OP12_SQL = """
+WITH turns AS (
+  SELECT conv_id AS c, coalesce(role, '') AS r, coalesce(text, '') AS t,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS i
+  FROM conversations WHERE conv_id IS NOT NULL),
+heads AS (
+  SELECT c, c - c % 100 AS base, xor(4294967295, list_reduce(
+    [4294967295::BIGINT] || list_transform(string_split(c::VARCHAR, ''), lambda x : ascii(x)::BIGINT),
+    lambda a, b : list_reduce([xor(a, b)] || range(8), lambda x, y : xor(x >> 1, 3988292384 * (x & 1))))) % 6 AS h
+  FROM (SELECT DISTINCT c FROM turns)),
+rebuilt AS (
+  SELECT heads.c, 0 AS part, i, r, t FROM heads JOIN turns ON turns.c = base WHERE i < h
+  UNION ALL SELECT c, 1, i, r, t FROM heads JOIN turns USING (c) WHERE i >= h),
+seqs AS (
+  SELECT c, coalesce(list({'r': r, 't': t} ORDER BY part, i) FILTER (r IS NOT NULL), []) AS s
+  FROM heads LEFT JOIN rebuilt USING (c) GROUP BY c),
+firsts AS (SELECT c, d, s[1:d] AS p, len(s) = d AS ends FROM seqs, unnest(range(len(s) + 1)) AS x(d)),
+named AS (SELECT c, d, min(c) OVER (PARTITION BY d, p) AS node, ends, p FROM firsts),
+nodes AS (
+  SELECT node, d, count(*) AS n, CASE WHEN d = 0 THEN 0 ELSE (count(*) - 1) * length(any_value(p)[d].t) END AS saved,
+         sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (ends), '')) AS ends_sha256
+  FROM named GROUP BY node, d),
+kin AS (
+  SELECT nodes.*, up.node AS parent FROM nodes
+  LEFT JOIN named up ON up.c = nodes.node AND up.d = nodes.d - 1),
+born AS (SELECT parent AS node, d - 1 AS d, count(*) AS n_children FROM kin WHERE d > 0 GROUP BY ALL),
+own AS (SELECT kin.*, coalesce(n_children, 0) AS n_children FROM kin LEFT JOIN born USING (node, d)),
+totals AS (
+  SELECT up.node, up.d, sum((own.n_children = 0)::BIGINT) AS n_leaves, sum(own.saved) AS saved_tokens
+  FROM own JOIN named up ON up.c = own.node AND up.d <= own.d GROUP BY ALL)
+SELECT node AS conv_id, d AS depth, parent AS parent_conv_id, n AS n_convs, n_children,
+       n_leaves::BIGINT AS n_leaves, saved_tokens::BIGINT AS saved_tokens, ends_sha256
+FROM own JOIN totals USING (node, d)
+"""
+
+OP13_SQL = """
+WITH vectors AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding::DOUBLE[], lambda x : floor(256 * x)) AS x
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND label IS NOT NULL
+    AND len(list_filter(embedding, lambda x : x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_inner_product(a.x, b.x)::BIGINT AS score
+  FROM vectors a JOIN vectors b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+near AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+far AS (
+  SELECT anchor_id, positive_id, positive_score, vec_id AS negative_id, score AS negative_score,
+         row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)::INTEGER AS rank
+  FROM near JOIN scored USING (anchor_id)
+  WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM far WHERE rank <= 10
+"""
+
 ORACLES = {
     "op3_ngram_jaccard": OP3_SQL,
     "op5_quality_rules": OP5_SQL,
     "op8_url_filter": OP8_SQL,
     "op10_top_k": OP10_SQL,
+    "op11_licences": OP11_SQL,
+    "op12_conversation_trie": OP12_SQL,
+    "op13_hard_negatives": OP13_SQL,
 }
