@@ -2,11 +2,13 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from utterset import violations as v
-from utterset.operators import asr, bootstrap, classify, embeddings, reports, verify
+from utterset.operators import asr, bootstrap, classify, embeddings, reports, trialboot, verify
+from utterset.plans import resample
 
 
 def rows(df, *keys):
@@ -122,24 +124,50 @@ def test_perfect_predictor_has_a_point_interval(spark):
 def test_draws_that_empty_a_fold_are_replaced(spark):
     # two speakers, one per fold: half of all draws miss a fold
     data = [(s, o, "0", f"u{k}", f"s{k}", k, "x", "x") for o, s in enumerate(("a", "b")) for k in (0, 1)]
-    folds = {}
     entries = class_entries(spark, data)
-    speakers, _ = bootstrap.positioned(entries.select("speaker_id").distinct(), "speaker_id", 5)
+    speakers, n = bootstrap.positioned(entries.select("speaker_id").distinct(), "speaker_id", 5)
     units = speakers.join(entries.select("speaker_id", "fold").distinct(), "speaker_id").select("pos", "fold")
+    good = bootstrap.covering_attempts(units, n, 25, 5)
+    assert len(good) == len(set(good)) == 25 and good[-1] > 24
+    count = lambda m, held: {"k": (m > 0).sum(axis=1)}
+    drawn = resample.per_replicate(units, ["fold"], count, "k long", n, good[-1] + 1, 5).collect()
+    assert good == sorted(r["replicate"] for r in drawn if r["k"] == 2)[:25]
+    out = rows(bootstrap.bootstrap_cluster(entries, replicates=25, seed=5), "metric", "kind", "system")
+    assert out[("accuracy", "system", "a")]["ci_low"] == 1.0
 
-    def covers(draws):
-        return draws.join(units, "pos").groupBy("replicate").agg(F.count_distinct("fold").alias("k")).where("k = 2")
 
-    draws, kept, used = bootstrap._valid_attempts(spark, 2, 25, 5, covers)
-    assert kept == 25 and used > 25
-    for r in draws.groupBy("replicate").agg(F.count_distinct("pos").alias("k")).collect():
-        folds[r["replicate"]] = r["k"]
-    assert len(folds) == 25 and set(folds.values()) == {2}
-
-
-def test_impossible_resamples_raise(spark):
+def test_impossible_resamples_raise():
+    tried = []
     with pytest.raises(ValueError):
-        bootstrap._valid_attempts(spark, 2, 1, 5, lambda draws: draws.where("replicate < 0"))
+        bootstrap.first_valid(7, lambda start, count: tried.append((start, count)) or [])
+    assert tried[0] == (0, 7) and sum(count for _, count in tried) == 700
+    assert bootstrap.first_valid(3, lambda start, count: [i for i in range(start, start + count) if i % 5 == 4]) == [4, 9, 14]
+
+
+def test_tree_draws_are_multinomial_and_whole(spark):
+    n, replicates = 3 * resample.BLOCK - 100, 400
+    units = spark.range(n).select(F.col("id").alias("pos"))
+    half = lambda m, held: {"all": m.sum(axis=1), "low": m[:, held["pos"] < 6000].sum(axis=1), "two": (m == 2).sum(axis=1)}
+    out = resample.per_replicate(units, ["pos"], half, "all long, low long, two long", n, replicates, 3)
+    got = out.groupBy("replicate").agg(*[F.sum(c).alias(c) for c in ("all", "low", "two")]).toPandas()
+    assert len(got) == replicates and (got["all"] == n).all()
+    p = 6000 / n
+    assert got["low"].mean() == pytest.approx(n * p, abs=4 * (n * p * (1 - p) / replicates) ** 0.5)
+    assert got["low"].var() == pytest.approx(n * p * (1 - p), rel=0.3)
+    assert got["two"].mean() / n == pytest.approx(math.exp(-1) / 2, rel=0.02)
+    again = resample.per_replicate(units.repartition(5), ["pos"], half, "all long, low long, two long", n, 30, 3, start=10)
+    again = again.groupBy("replicate").agg(F.sum("low").alias("low"))
+    known = dict(zip(got["replicate"], got["low"], strict=True))
+    assert all(known[r["replicate"]] == r["low"] for r in again.collect())
+
+
+def test_binomial_quantiles_are_exact():
+    for m, p in ((1, 0.5), (7, 0.3), (40, 0.9), (3000, 0.01)):
+        law = np.cumsum([math.exp(math.lgamma(m + 1) - math.lgamma(k + 1) - math.lgamma(m - k + 1) + k * math.log(p) + (m - k) * math.log(1 - p)) for k in range(m + 1)])
+        u = np.linspace(0.0005, 0.9995, 501)
+        want = np.minimum(np.searchsorted(law, u, side="right"), m)
+        assert (resample.binomial_quantile(np.full(len(u), m), p, u) == want).all()
+    assert (resample.binomial_quantile(np.array([0, 0]), 0.5, np.array([0.1, 0.9])) == 0).all()
 
 
 def trials(spark, data, schema="score double, label int, w double"):
@@ -249,6 +277,50 @@ def test_verification_bootstrap_by_speaker_and_trial(spark):
     assert {r["rule"] for r in verify.trial_violations(broken).collect()} == {"target_within_speaker"}
 
 
+@pytest.mark.parametrize("unit", ["speaker", "trial"])
+def test_ranges_give_what_all_weights_give(spark, monkeypatch, unit):
+    """Replicates finished from score ranges equal those of all trials with their weights; ties and one-sided ranges included."""
+    rng = np.random.default_rng(4)
+    data, n = [], 0
+    for i in range(30):
+        for j in range(i, 30):
+            for _ in range(3 if i == j else 1):
+                tied = round(float(rng.normal() + (i == j)), 1)
+                for order, system in enumerate(("a", "b")):
+                    score = tied if order == 0 else float(rng.normal() + 2 * (i == j))
+                    data.append((system, order, "none", f"t{n}", f"s{i}", f"s{j}", int(i == j), score))
+                n += 1
+    schema = "system string, ord int, seed string, trial_id string, spk_a string, spk_b string, label int, score double"
+    entries = spark.createDataFrame(data, schema)
+    for name, value in (("SPEAKERS", 8), ("ITEM", 50), ("PER_RANGE", 9), ("CELLS", 2000)):
+        monkeypatch.setattr(trialboot, name, value)
+    out = rows(bootstrap.bootstrap_verification(entries, replicates=40, seed=6, unit=unit), "metric", "kind", "system")
+    wide = {(t, k): x for s, _, _, t, a, b, lab, x in data for k in [s]}
+    trials = sorted({(t, a, b, lab) for _, _, _, t, a, b, lab, _ in data})
+    names = sorted({x for t in trials for x in ((t[1], t[2]) if unit == "speaker" else (t[0],))})
+    units, size = bootstrap.positioned(spark.createDataFrame([(x,) for x in names], "u string"), "u", 6)
+    give = lambda m, held: {"replicate": np.repeat(np.arange(len(m)), m.shape[1]), "p": np.tile(held["pos"], len(m)), "m": m.reshape(-1)}
+    mult = {(r["replicate"], r["p"]): r["m"] for r in resample.per_replicate(units, ["pos"], give, "p long, m long", size, 40, 6).collect()}
+    place = {r["u"]: r["pos"] for r in units.collect()}
+    for system in "ab":
+        eers, costs = [], []
+        for r in range(40):
+            w = [mult[r, place[t]] if unit == "trial" else mult[r, place[a]] * (1 if lab else mult[r, place[b]]) for t, a, b, lab in trials]
+            score = np.array([wide[t, system] for t, *_ in trials])
+            label, w = np.array([t[3] for t in trials]), np.array(w, dtype=float)
+            gaps, fit = [(1.0, 0, 1.0, 0.0)], 1.0
+            for k, x in enumerate(sorted(set(score), reverse=True), 1):
+                fnr = 1 - w[(label == 1) & (score >= x)].sum() / w[label == 1].sum()
+                fpr = w[(label == 0) & (score >= x)].sum() / w[label == 0].sum()
+                gaps.append((abs(fnr - fpr), k, fnr, fpr))
+                fit = min(fit, (0.01 * fnr + 0.99 * fpr) / 0.01)
+            eers.append(sum(min(gaps)[2:]) / 2)
+            costs.append(fit)
+        for metric, values in (("eer", eers), ("min_dcf", costs)):
+            got = out[(metric, "system", system)]
+            assert (got["ci_low"], got["ci_high"]) == pytest.approx(tuple(np.percentile(values, [2.5, 97.5])), abs=1e-9)
+
+
 def test_alignment_rules(spark):
     data = [("a", "0", "u1", "s1"), ("a", "0", "u2", "s1"), ("b", "0", "u1", "s2"), ("b", "0", "u2", "s1"), ("b", "0", "u2", "s1")]
     entries = spark.createDataFrame(data, "system string, seed string, unit_id string, speaker_id string")
@@ -272,6 +344,7 @@ def test_bootstraps_refuse_unpaired_entries(spark):
     faults = {
         "missing_unit": good[:-1], "duplicate_unit": [*good, good[0]], "two_systems": good[:2],
         "finite_value": [*good[:-1], ("b", 1, "0", "u2", "m", float("nan"))],
+        "missing_metric": [*good, *[(s, o, "0", "u1", "other", 1.0) for o, s in enumerate("ab")]],
     }
     for rule, data in faults.items():
         with pytest.raises(v.ContractError, match=rule):

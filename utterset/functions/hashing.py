@@ -35,32 +35,11 @@ def draw_wide_index(key: Column, n: Column | int) -> Column:
     return F.pmod(_sixty_bits(key, 1), size.cast("long"))
 
 
-def draws_per_key(n: int) -> int:
-    """How many independent draws of ``[0, n)`` one order key gives.
-
-    Four 30-bit words serve up to about a million outcomes with less than 0.1 %
-    bias; beyond that two 60-bit words are used.
-    """
-    return 4 if n <= 1 << 20 else 2
-
-
 def key_words(key: Column) -> tuple[Column, Column]:
     """The two 60-bit words of an order key."""
     return _sixty_bits(key, 1), _sixty_bits(key, 16)
 
 
-def draw_indices(high: Column, low: Column, n: int) -> list[Column]:
-    """``draws_per_key(n)`` uniform integers in ``[0, n)`` from two key words."""
-    if draws_per_key(n) == 2:
-        words = [high, low]
-    else:
-        mask = F.lit((1 << 30) - 1)
-        words = [
-            F.shiftright(high, 30), high.bitwiseAND(mask), F.shiftright(low, 30), low.bitwiseAND(mask)
-        ]
-    return [F.pmod(w, F.lit(n)) for w in words]
-
-
 def draw_uniform(key: Column, offset: int = 1) -> Column:
     """Uniform double strictly inside (0, 1) from eight digits of an order key."""
     digits = F.conv(F.substring(key, offset, 8), 16, 10).cast("double")

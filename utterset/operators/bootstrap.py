@@ -1,7 +1,9 @@
-"""Paired and clustered bootstrap as joins and grouped sums.
+"""Paired and clustered bootstrap as partial sums of blocks.
 
-A replicate is a grouping column.  Draw ``j`` of replicate ``r`` picks unit
-``hash(seed, r, j) mod n``; the same draws serve every system, seed and metric.
+A replicate draws n of n units with replacement.  ``plans.resample`` makes the
+draws inside the task that holds a block of units, so a replicate costs one partial
+sum per block and no draw is ever a row.  The same draws serve every system, seed
+and metric.
 """
 
 from __future__ import annotations
@@ -9,15 +11,17 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from utterset import violations as v
 from utterset.functions import vectors
-from utterset.functions.hashing import draw_indices, draws_per_key, key_words, order_key
-from utterset.operators import asr, classify, verify
+from utterset.functions.hashing import order_key
+from utterset.operators import asr, classify, trialboot, verify
 from utterset.plans.ordering import with_position
-from utterset.session import broadcast_if_small, sized, slots
+from utterset.plans.resample import per_replicate
+from utterset.session import sized
 
 TASKS = ("reconstruction", "asr", "classification", "verification")
 SCHEMA_VERSION = "paired-bootstrap-v1"
@@ -81,14 +85,35 @@ def refuse_unpaired(
 ) -> None:
     """Raise unless systems and seeds are comparable unit by unit.
 
-    ``also`` is a column that makes a unit together with ``unit`` (the metric);
-    ``fixed`` columns must agree across systems, ``value`` must be finite.
+    ``also`` is a column that makes a cell together with system and seed (the
+    metric): every unit has every cell once.  ``fixed`` columns must agree across
+    systems, ``value`` must be finite.  One grouping finds out whether anything is
+    wrong; only then are the faults listed.
     """
+    keys = ["system", "seed", *([also] if also else [])]
+    cells = entries.select(*keys).distinct()
+    n_cells = cells.count()
+    runs = [tuple(r) for r in cells.select("system", "seed").distinct().collect()]
+    seeds = {s: {k for t, k in runs if t == s} for s, _ in runs}
+    state = F.hash(*fixed) if fixed else F.lit(0)
+    wrong = ~vectors.is_finite(F.col(value)) if value else F.lit(False)
+    whole = (F.col("n") == n_cells) & (F.col("cells") == n_cells) & (F.col("lo") == F.col("hi")) & ~F.col("wrong")
+    grouped = entries.groupBy(unit).agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct(*keys).alias("cells"), F.min(state).alias("lo"),
+        F.max(state).alias("hi"), F.max(F.coalesce(wrong, F.lit(True))).alias("wrong"),
+    )
+    faulty = len(seeds) < 2 or len({frozenset(k) for k in seeds.values()}) > 1
+    if not faulty and grouped.where(~whole | F.col(unit).isNull()).isEmpty():
+        return
     name = unit
     if also:
         name = "_unit"
-        entries = entries.withColumn(name, F.concat_ws(" of ", also, unit))
+        entries = entries.withColumn(name, F.to_json(F.struct(also, unit)))
     found = [check_alignment(entries, name)]
+    if also:
+        metrics = entries.select(also).distinct().count()
+        lacking = entries.groupBy(unit).agg(F.count_distinct(also).alias("n"))
+        found.append(v.violation(lacking, "missing_metric", F.col("n") < metrics, F.col(unit), F.col("n")))
     if fixed:
         found.append(check_invariants(entries, fixed, name))
     if value:
@@ -117,37 +142,7 @@ def seed_order(seed: Column) -> list[Column]:
 def positioned(units: DataFrame, unit: str, seed: int) -> tuple[DataFrame, int]:
     """(units numbered 0..n-1 in seeded order, n); ``units`` has one row per unit."""
     hashed = sized(units.withColumn("_h", order_key(seed, "unit", unit)))
-    n = hashed.count()
-    return with_position(hashed, "_h", [unit], rows=n).drop("_h"), n
-
-
-def bootstrap_draws(spark, n: int, replicates: int, seed: int) -> DataFrame:
-    """(replicate, pos): n uniform draws with replacement per replicate.
-
-    Generated in parallel from a range; one digest serves several draws.
-    """
-    per_key = draws_per_key(n)
-    blocks = -(-n // per_key)
-    rows = blocks * replicates
-    numbered = spark.range(0, rows, 1, slots(spark, rows, 250_000)).select(
-        F.floor(F.col("id") / F.lit(blocks)).cast("int").alias("replicate"),
-        F.pmod("id", F.lit(blocks)).alias("block"),
-    )
-    high, low = key_words(F.col("h"))
-    words = numbered.withColumn("h", order_key(seed, "draw", "replicate", "block")).select(
-        "replicate", "block", high.alias("high"), low.alias("low")
-    )
-    picks = [
-        F.when(F.col("block") * per_key + w < n, index)
-        for w, index in enumerate(draw_indices(F.col("high"), F.col("low"), n))
-    ]
-    return words.select("replicate", F.explode(F.array(*picks)).alias("pos")).where(F.col("pos").isNotNull())
-
-
-def apply_weights(units: DataFrame, draws: DataFrame) -> DataFrame:
-    """Units with their multiplicity ``m`` in each replicate that drew them."""
-    counted = draws.groupBy("replicate", "pos").agg(F.count(F.lit(1)).alias("m"))
-    return counted.join(units, "pos")
+    return with_position(hashed, "_h", [unit]).drop("_h"), hashed.count()
 
 
 # --------------------------------------------------------------------------
@@ -235,10 +230,8 @@ def _additive(
 
     ``sums`` names the numerator (n) and denominator (d) columns; without a
     denominator rows are counted.  Units become one wide row (a column per
-    system, seed and metric), so each draw meets its unit once and the grouped
-    sums need no further shuffle of rows.
+    system, seed and metric), so a block's sums are one matrix product.
     """
-    spark = entries.sparkSession
     wide_cols = []
     for i, (system, _, run, metric) in enumerate(cells):
         here = (F.col("system") == system) & (F.col("seed") == run) & (F.col("metric") == metric)
@@ -247,11 +240,16 @@ def _additive(
     units, n = positioned(wide, unit, seed)
     units = units.drop(unit)
     columns = [f"{p}{i}" for i in range(len(cells)) for p in sums]
-    total = [F.sum(c).alias(c) for c in columns] + [F.count(F.lit(1)).alias("drawn")]
+    total = [F.sum(c).alias(c) for c in columns]
     point_row = units.agg(*total).withColumn("replicate", F.lit(-1))
-    side = broadcast_if_small(units, n, 8 * (len(columns) + 2))
-    boot_rows = bootstrap_draws(spark, n, replicates, seed).join(side, "pos").groupBy("replicate").agg(*total)
-    divisor = (lambda i: F.col(f"d{i}")) if "d" in sums else (lambda i: F.col("drawn"))
+
+    def sums_of(drawn: np.ndarray, held: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        made = drawn @ np.stack([held[c] for c in columns], axis=1)
+        return dict(zip(columns, made.T, strict=True))
+
+    schema = ", ".join(f"{c} double" for c in columns)
+    boot_rows = per_replicate(units, columns, sums_of, schema, n, replicates, seed).groupBy("replicate").agg(*total)
+    divisor = (lambda i: F.col(f"d{i}")) if "d" in sums else (lambda i: F.lit(float(n)))
     long = F.explode(
         F.array(
             *[
@@ -318,29 +316,84 @@ def bootstrap_rate(
 # clustered bootstrap
 
 
-def _valid_attempts(
-    spark, n: int, replicates: int, seed: int, valid: Callable[[DataFrame], DataFrame]
-) -> tuple[DataFrame, int, int]:
-    """Draws of the first ``replicates`` valid attempts, and the attempts used.
+def first_valid(
+    replicates: int, valid: Callable[[int, int], Sequence[int]], most: int = 100
+) -> list[int]:
+    """Numbers of the first ``replicates`` valid attempts.
 
-    ``valid`` maps draws to the attempt numbers (replicate) that are usable.
+    ``valid(start, count)`` gives those of attempts start to start + count - 1.  The
+    next round tries as many as the share so far asks for; attempts end at
+    ``most`` times the replicates (100 at least), where it raises.
     """
-    limit = max(100, replicates * 100)
-    tried = min(limit, replicates + max(8, replicates // 8))
+    limit = max(100, most * replicates)
+    good: list[int] = []
+    tried, wanted = 0, replicates
     while True:
-        draws = bootstrap_draws(spark, n, tried, seed)
-        good = [
-            r[0] for r in valid(draws).select("replicate").orderBy("replicate").limit(replicates).collect()
-        ]
-        if len(good) == replicates:
-            last = good[-1] + 1
-            if last == replicates:
-                return bootstrap_draws(spark, n, replicates, seed), replicates, replicates
-            kept = spark.createDataFrame([(i,) for i in good], "replicate int")
-            return bootstrap_draws(spark, n, last, seed).join(kept, "replicate"), len(good), last
+        wanted = min(wanted, limit - tried)
+        good += sorted(valid(tried, wanted))
+        tried += wanted
+        if len(good) >= replicates:
+            return good[:replicates]
         if tried >= limit:
             raise ValueError("could not draw enough valid resamples")
-        tried = min(limit, tried * 4)
+        short = replicates - len(good)
+        wanted = max(8, -(-short * tried * 5 // (4 * max(1, len(good)))))
+
+
+def covering_attempts(clusters: DataFrame, n: int, replicates: int, seed: int) -> list[int]:
+    """The first attempts that leave no fold empty, from (pos, fold) alone.
+
+    A cluster's folds are a row of bits; a block emits the bits of what it drew and
+    the blocks' bits are joined by OR, so no score is touched.
+    """
+    folds = [r[0] for r in clusters.select("fold").distinct().orderBy("fold").collect()]
+    place = F.create_map(*[F.lit(x) for i, f in enumerate(folds) for x in (f, i)])
+    units = clusters.select("pos", place[F.col("fold")].alias("f")).groupBy("pos").agg(F.collect_set("f").alias("folds"))
+    n_words = -(-len(folds) // 32)
+
+    def bits_of(drawn: np.ndarray, held: dict) -> dict[str, np.ndarray]:
+        lists = held["folds"]
+        member = np.zeros((len(lists), 32 * n_words))
+        member[np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy()), lists.flatten().to_numpy()] = 1
+        seen = (drawn > 0) @ member > 0
+        weights = 1 << np.arange(32, dtype=np.int64)
+        return {f"w{i}": seen[:, 32 * i : 32 * i + 32] @ weights for i in range(n_words)}
+
+    every = F.lit(True)
+    for i in range(n_words):
+        every = every & (F.col(f"w{i}") == (1 << min(32, len(folds) - 32 * i)) - 1)
+
+    def valid(start: int, count: int) -> list[int]:
+        schema = ", ".join(f"w{i} long" for i in range(n_words))
+        drawn = per_replicate(units, ["folds"], bits_of, schema, n, count, seed, start)
+        seen = drawn.groupBy("replicate").agg(*[F.bit_or(f"w{i}").alias(f"w{i}") for i in range(n_words)])
+        return [r[0] for r in seen.where(every).select("replicate").collect()]
+
+    return first_valid(replicates, valid)
+
+
+LABELS_AT_ONCE = 512
+
+
+def _label_sums(drawn: np.ndarray, held: dict) -> dict[str, np.ndarray]:
+    """(replicate, label, g, p, tp): sums over a block of the clusters' counts per label of a (system, seed, fold)."""
+    lists = held["labels"]
+    rows = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
+    flat = lists.flatten()
+    keys, place = np.unique(flat.field("label").to_numpy(), return_inverse=True)
+    parts = []
+    for lo in range(0, len(keys), LABELS_AT_ONCE):
+        here = (place >= lo) & (place < lo + LABELS_AT_ONCE)
+        width = min(LABELS_AT_ONCE, len(keys) - lo)
+        sums = []
+        for name in ("g", "p", "tp"):
+            dense = np.zeros((len(lists), width))
+            dense[rows[here], place[here] - lo] = flat.field(name).to_numpy()[here]
+            sums.append(drawn @ dense)
+        at, label = np.nonzero(sums[0] + sums[1])
+        parts.append((at, keys[lo + label], *[x[at, label] for x in sums]))
+    columns = [np.concatenate(c) for c in zip(*parts, strict=True)] if parts else [np.zeros(0)] * 5
+    return dict(zip(("replicate", "label", "g", "p", "tp"), columns, strict=True))
 
 
 def bootstrap_cluster(
@@ -362,26 +415,29 @@ def bootstrap_cluster(
     )
     cells = sized(cells)
     speakers, n = positioned(cells.select("speaker_id").distinct(), "speaker_id", seed)
-    per_speaker = cells.join(speakers, "speaker_id").drop("speaker_id")
-    folds = sized(per_speaker.select("pos", "fold").distinct())
-    n_folds = folds.agg(F.count_distinct("fold")).first()[0]
-
-    def covers(draws: DataFrame) -> DataFrame:
-        return (
-            draws.join(folds, "pos")
-            .groupBy("replicate")
-            .agg(F.count_distinct("fold").alias("k"))
-            .where(F.col("k") == n_folds)
-        )
-
-    draws, _, _ = _valid_attempts(spark, n, replicates, seed, covers)
-    resampled = (
-        draws.join(per_speaker, "pos")
-        .groupBy("replicate", *keys, "fold", "gold", "prediction")
-        .agg(F.sum("w").alias("w"))
+    speakers = sized(speakers)
+    good = covering_attempts(cells.join(speakers, "speaker_id").select("pos", "fold").distinct(), n, replicates, seed)
+
+    place = ["label_no", *keys, "fold", "label"]
+    per_label = classify.label_counts(cells, ["speaker_id", *keys, "fold"])
+    per_label = sized(per_label.withColumn("label_no", F.xxhash64(*keys, "fold", "label")))
+    named = sized(per_label.select(*place).distinct())
+    if named.select("label_no").distinct().count() < named.count():
+        raise ValueError("two labels have one hash")
+    of_cluster = F.collect_list(F.struct(F.col("label_no").alias("label"), "g", "p", "tp")).alias("labels")
+    units = per_label.join(speakers, "speaker_id").groupBy("pos").agg(of_cluster)
+    drawn = per_replicate(
+        units, ["labels"], _label_sums, "label long, g double, p double, tp double", n, good[-1] + 1, seed
     )
+    if good[-1] + 1 > replicates:
+        kept = spark.createDataFrame([(i,) for i in good], "replicate int")
+        drawn = drawn.join(kept, "replicate")
+    summed = drawn.groupBy("replicate", F.col("label").alias("label_no")).agg(
+        *[F.sum(c).alias(c) for c in ("g", "p", "tp")]
+    )
+    resampled = summed.join(named, "label_no")
     boot_scores = classify.average_folds(
-        classify.fold_scores(resampled, ["replicate", *keys]), ["replicate", *keys]
+        classify.label_scores(resampled, ["replicate", *keys, "fold"]), ["replicate", *keys]
     )
     point_cells = cells.groupBy(*keys, "fold", "gold", "prediction").agg(F.sum("w").alias("w"))
     point_scores = classify.average_folds(classify.fold_scores(point_cells, keys), keys)
@@ -403,17 +459,6 @@ def _long_metrics(df: DataFrame, keys: Sequence[str], metrics: Sequence[str]) ->
     ).select(*keys, "x.*")
 
 
-def apply_speaker_weights(trials: DataFrame, weights: DataFrame) -> DataFrame:
-    """Trial weight m(a) for targets and m(a) * m(b) for non-targets.
-
-    ``weights``: (replicate, spk, m) with m > 0.
-    """
-    a = weights.select("replicate", F.col("spk").alias("spk_a"), F.col("m").alias("ma"))
-    b = weights.select("replicate", F.col("spk").alias("spk_b"), F.col("m").alias("mb"))
-    weight = F.when(F.col("label") == 1, F.col("ma")).otherwise(F.col("ma") * F.col("mb"))
-    return trials.join(a, "spk_a").join(b, ["replicate", "spk_b"]).withColumn("w", weight).drop("ma", "mb")
-
-
 def bootstrap_verification(
     entries: DataFrame,
     *,
@@ -429,57 +474,33 @@ def bootstrap_verification(
     Draws without both kinds of trial are drawn again.  Unequal trials, changed
     speakers or labels, scores that are not finite and a single system raise.
     """
-    spark = entries.sparkSession
     refuse_unpaired(entries, "trial_id", fixed=["spk_a", "spk_b", "label"], value="score")
     keys = ["system", "ord", "seed"]
+    runs = [tuple(r) for r in entries.select(*keys).distinct().orderBy("ord", "seed").collect()]
     # one trial list serves every system and seed
-    base = sized(entries.select("trial_id", "spk_a", "spk_b", "label").dropDuplicates(["trial_id"]))
+    wide = entries.groupBy("trial_id", "spk_a", "spk_b", "label").agg(
+        F.array(*[F.max(F.when((F.col("system") == s) & (F.col("seed") == k), F.col("score").cast("double"))) for s, _, k in runs]).alias("scores")
+    )
+    wide = sized(wide)
     if unit == "speaker":
-        names = base.select(F.explode(F.array("spk_a", "spk_b")).alias("spk"))
+        names = wide.select(F.explode(F.array("spk_a", "spk_b")).alias("spk"))
         units, n = positioned(names.distinct(), "spk", seed)
-        # the same draws are valid for trials and for their speaker pairs
-        pairs = sized(base.select("spk_a", "spk_b", "label").distinct())
-
-        def labels_drawn(draws: DataFrame) -> DataFrame:
-            m = apply_weights(units, draws).select("replicate", "spk", "m")
-            return apply_speaker_weights(pairs, m)
-
-        def weighted(draws: DataFrame) -> DataFrame:
-            m = apply_weights(units, draws).select("replicate", "spk", "m")
-            return apply_speaker_weights(base, m).select("replicate", "trial_id", "label", "w")
-
+        units = sized(units)
+        trials = wide.join(units.select(F.col("spk").alias("spk_a"), F.col("pos").alias("a")), "spk_a").join(
+            units.select(F.col("spk").alias("spk_b"), F.col("pos").alias("b")), "spk_b"
+        )
     elif unit == "trial":
-        units, n = positioned(base.select("trial_id", "label"), "trial_id", seed)
-
-        def labels_drawn(draws: DataFrame) -> DataFrame:
-            return draws.join(units, "pos")
-
-        def weighted(draws: DataFrame) -> DataFrame:
-            return apply_weights(units, draws).select("replicate", "trial_id", "label", F.col("m").alias("w"))
-
+        units, n = positioned(wide, "trial_id", seed)
+        trials = units.withColumn("a", F.col("pos")).withColumn("b", F.lit(None).cast("long"))
     else:
         raise ValueError("bootstrap unit must be speaker or trial")
-
-    def has_both(draws: DataFrame) -> DataFrame:
-        return (
-            labels_drawn(draws)
-            .groupBy("replicate")
-            .agg(F.count_distinct("label").alias("k"))
-            .where(F.col("k") == 2)
-        )
-
-    draws, _, _ = _valid_attempts(spark, n, replicates, seed, has_both)
-    scores = entries.select(*keys, "trial_id", "score")
-    drawn = weighted(draws).join(scores, "trial_id")
     metrics = ["eer", "min_dcf"]
+    drawn = trialboot.replicate_metrics(
+        trials.select("trial_id", "a", "b", "label", "scores"), len(runs), n, replicates, seed, first_valid, p_target
+    )
+    run = F.array(*[F.struct(F.lit(s).alias("system"), F.lit(o).alias("ord"), F.lit(k).alias("seed")) for s, o, k in runs])
     boot = (
-        _long_metrics(
-            verify.verification_metrics(
-                drawn, group=["replicate", *keys], weight="w", p_target=p_target
-            ),
-            ["replicate", *keys],
-            metrics,
-        )
+        _long_metrics(drawn.withColumn("run", run[F.col("cell")]).select("replicate", "run.*", *metrics), ["replicate", *keys], metrics)
         .groupBy("metric", "system", "ord", "replicate")
         .agg(F.avg("value").alias("value"))
     )

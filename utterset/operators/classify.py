@@ -18,12 +18,8 @@ def confusion(
     )
 
 
-def fold_scores(cells: DataFrame, keys: Sequence[str], fold: str = "fold") -> DataFrame:
-    """Accuracy, balanced accuracy and macro F1 of each (keys, fold).
-
-    Balanced accuracy averages recall over labels present in gold; F1 averages
-    over labels present in gold or prediction.  Zero weights do not count.
-    """
+def label_counts(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Per (keys, label): weight in gold (g), in prediction (p) and in both (tp).  Zero weights do not count."""
     hit = F.when(F.col("gold") == F.col("prediction"), F.col("w")).otherwise(0.0)
     roles = F.explode(
         F.array(
@@ -35,14 +31,18 @@ def fold_scores(cells: DataFrame, keys: Sequence[str], fold: str = "fold") -> Da
             ),
         )
     )
-    per_label = (
+    return (
         cells.where(F.col("w") > 0)
-        .select(*keys, fold, roles.alias("r"))
-        .groupBy(*keys, fold, F.col("r.label").alias("label"))
+        .select(*keys, roles.alias("r"))
+        .groupBy(*keys, F.col("r.label").alias("label"))
         .agg(F.sum("r.g").alias("g"), F.sum("r.p").alias("p"), F.sum("r.tp").alias("tp"))
     )
+
+
+def label_scores(per_label: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Scores per ``keys`` from label counts: recall over labels in gold, F1 over labels in gold or prediction."""
     recall = F.when(F.col("g") > 0, F.col("tp") / F.col("g"))
-    return per_label.groupBy(*keys, fold).agg(
+    return per_label.groupBy(*keys).agg(
         (F.sum("tp") / F.sum("g")).alias("accuracy"),
         F.avg(recall).alias("balanced_accuracy"),
         F.avg(2 * F.col("tp") / (F.col("g") + F.col("p"))).alias("macro_f1"),
@@ -50,6 +50,11 @@ def fold_scores(cells: DataFrame, keys: Sequence[str], fold: str = "fold") -> Da
     )
 
 
+def fold_scores(cells: DataFrame, keys: Sequence[str], fold: str = "fold") -> DataFrame:
+    """Accuracy, balanced accuracy and macro F1 of each (keys, fold)."""
+    return label_scores(label_counts(cells, [*keys, fold]), [*keys, fold])
+
+
 def classification_metrics(
     df: DataFrame,
     keys: Sequence[str] = (),

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from utterset.functions import text as tx
 from utterset.functions import vectors
 from utterset.functions.hashing import draw_index, order_key
 from utterset.operators import asr, bootstrap, classify, embeddings, reports, sampling, verify
+from utterset.plans.resample import sql_draws
 from utterset.queries.common import (
     SQL_UTTERANCES,
     rounded,
@@ -19,9 +20,9 @@ from utterset.queries.common import (
     table,
     utterances,
 )
+from utterset.session import cut_lineage
 
-REPLICATES = 201
-CLUSTER_REPLICATES = 41
+REPLICATES = 10_000
 SUMMARY_VALUES = ("estimate", "seed_sample_sd", "ci_low", "ci_high")
 
 
@@ -117,23 +118,11 @@ FROM per_pair p JOIN means a ON a.metric = p.metric AND a.system = p.minus
 """
 
 
-def _sql_draws(units: str, replicates: int, seed: int) -> str:
-    """Draws of replicate and j: four 30-bit words of the digest of (replicate, j // 4)."""
-    return f"""
-draws AS (
-  SELECT replicate, (CASE j % 4 WHEN 0 THEN hi >> 30 WHEN 1 THEN hi & 1073741823 WHEN 2 THEN lo >> 30 ELSE lo & 1073741823 END) % n AS pos FROM (
-    SELECT replicate, n, j, ('0x' || substr(h, 1, 15))::UBIGINT::BIGINT AS hi, ('0x' || substr(h, 16, 15))::UBIGINT::BIGINT AS lo FROM (
-      SELECT replicate, n, j, {sql_hash(seed, 'draw', 'replicate', 'j // 4')} AS h FROM (
-        SELECT replicate, n, unnest(range(n)) AS j
-        FROM range({replicates}) t(replicate), (SELECT count(*) AS n FROM {units})))))
-"""
-
-
 SQL_ASR_BOOTSTRAP = f"""
 WITH {SQL_TRANSCRIPTS},
 units AS (SELECT unit_id, row_number() OVER (ORDER BY {sql_hash(11, 'unit', 'unit_id')}, unit_id) - 1 AS pos
           FROM (SELECT DISTINCT unit_id FROM turns)),
-{_sql_draws('units', REPLICATES, 11)},
+{sql_draws('units', REPLICATES, 11)},
 long AS (SELECT system, ord, seed, unit_id, 'wer' AS metric, word_errors AS e, word_units AS u FROM counts
          UNION ALL SELECT system, ord, seed, unit_id, 'cer', char_errors, char_units FROM counts),
 points AS (SELECT metric, system, ord, seed, sum(e) / sum(u) AS value FROM long GROUP BY ALL),
@@ -178,7 +167,7 @@ SQL_METRIC_BOOTSTRAP = f"""
 WITH units AS (
   SELECT event_id, value, CASE WHEN event_type = 'error' THEN 1.5 ELSE 1.0 END AS bonus,
          row_number() OVER (ORDER BY {sql_hash(7, 'unit', 'event_id')}, event_id) - 1 AS pos FROM events),
-{_sql_draws('units', REPLICATES, 7)},
+{sql_draws('units', REPLICATES, 7)},
 sums AS (SELECT replicate, count(*) AS c, sum(value) AS v, sum(bonus) AS b FROM draws JOIN units USING (pos) GROUP BY ALL),
 cells AS (SELECT * FROM (VALUES ('base', 0, 0.0), ('tuned', 1, 1.0)) s(system, ord, gain), (VALUES (0), (1), (2)) x(seed)),
 points AS (SELECT 'value' AS metric, system, ord, seed, avg(value + seed + gain * bonus) AS value FROM units, cells GROUP BY ALL),
@@ -271,7 +260,7 @@ def event_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def classification_cluster_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     result = bootstrap.bootstrap_cluster(
-        event_entries(spark, sf_dir), replicates=CLUSTER_REPLICATES, seed=13
+        event_entries(spark, sf_dir), replicates=REPLICATES, seed=13
     )
     return rounded(result, *SUMMARY_VALUES)
 
@@ -286,9 +275,9 @@ rows_ AS (SELECT system, ord, user_id, fold, event_type AS gold,
 units AS (SELECT user_id, row_number() OVER (ORDER BY {sql_hash(13, 'unit', 'user_id')}, user_id) - 1 AS pos
           FROM (SELECT DISTINCT user_id FROM events)),
 per_unit AS (SELECT pos, system, ord, fold, gold, prediction, count(*) AS w FROM rows_ JOIN units USING (user_id) GROUP BY ALL),
-{_sql_draws('units', 400, 13)},
+{sql_draws('units', 3 * REPLICATES, 13)},
 valid AS (SELECT replicate FROM draws JOIN units USING (pos) JOIN folds USING (user_id) GROUP BY replicate
-          HAVING count(DISTINCT fold) = (SELECT count(DISTINCT fold) FROM folds) ORDER BY replicate LIMIT {CLUSTER_REPLICATES}),
+          HAVING count(DISTINCT fold) = (SELECT count(DISTINCT fold) FROM folds) ORDER BY replicate LIMIT {REPLICATES}),
 drawn AS (SELECT replicate, system, ord, fold, gold, prediction, sum(w) AS w
           FROM draws JOIN valid USING (replicate) JOIN per_unit USING (pos) GROUP BY ALL
           UNION ALL
@@ -401,46 +390,61 @@ trials AS (
 """
 
 
+def rooted(vector: str) -> Column:
+    """The second model of a vector: signed square roots of all its components."""
+    return F.transform(vector, lambda x: F.signum(x) * F.sqrt(F.abs(x)))
+
+
 def trial_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Drawn trials scored by the whole vector and by its first half."""
+    """Drawn trials scored by whole vectors and by their signed roots."""
     utts = utterances(spark, sf_dir)
     trials = verify.sample_trials(utts, key="vec_id", speaker="speaker", max_trials=MAX_TRIALS, seed=17)
-    halves = utts.select("vec_id", F.slice("embedding", 1, 32).alias("embedding"))
-    full = verify.score_trials(trials, utts.select("vec_id", "embedding"), key="vec_id", vector="embedding")
-    half = verify.score_trials(trials, halves, key="vec_id", vector="embedding")
+    roots = utts.select("vec_id", rooted("embedding").alias("embedding"))
+    plain = verify.score_trials(trials, utts.select("vec_id", "embedding"), key="vec_id", vector="embedding")
+    root = verify.score_trials(trials, roots, key="vec_id", vector="embedding")
     named = [
         d.select(
             F.lit(s).alias("system"), F.lit(o).alias("ord"), F.lit("none").alias("seed"),
             F.concat_ws("-", "left", "right").alias("trial_id"), "spk_a", "spk_b", "label",
             F.round("score", 12).alias("score"),
         )
-        for s, o, d in (("full", 0, full), ("half", 1, half))
+        for s, o, d in (("plain", 0, plain), ("root", 1, root))
     ]
     return named[0].unionByName(named[1])
 
 
-def verification_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from utterset.session import cut_lineage
-
+def _verification(spark: SparkSession, sf_dir: str, unit: str) -> DataFrame:
     entries = cut_lineage(trial_entries(spark, sf_dir), "trials")
-    result = bootstrap.bootstrap_verification(entries, replicates=CLUSTER_REPLICATES, seed=19)
+    result = bootstrap.bootstrap_verification(entries, replicates=REPLICATES, seed=19, unit=unit)
     return rounded(result, *SUMMARY_VALUES)
 
 
-SQL_VERIFICATION_BOOTSTRAP = f"""
-WITH {SQL_CAPPED},
-vec AS (SELECT 'full' AS system, 0 AS ord, vec_id, embedding AS x FROM utterances
-        UNION ALL SELECT 'half', 1, vec_id, embedding[1:32] FROM utterances),
-unit_ AS (SELECT system, ord, vec_id, list_transform(x, lambda e: e / (sqrt(list_dot_product(x, x)) + 1e-8)) AS u FROM vec),
-scored AS (SELECT a.system, a.ord, spk_a, spk_b, label, round(list_dot_product(a.u, b.u), 12) AS score
+def verification_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _verification(spark, sf_dir, "speaker")
+
+
+def verification_trial_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _verification(spark, sf_dir, "trial")
+
+
+SQL_MODELS = """
+models AS (SELECT 'plain' AS system, 0 AS ord, vec_id, speaker, embedding AS x FROM utterances
+           UNION ALL SELECT 'root', 1, vec_id, speaker, list_transform(embedding, lambda e: sign(e) * sqrt(abs(e))) FROM utterances)
+"""
+
+
+def _sql_verification(units: str, weighted: str) -> str:
+    """``units`` has (unit, pos); ``weighted`` makes (replicate, system, ord, label, score, w) of scored and mult."""
+    return f"""
+WITH {SQL_CAPPED}, {SQL_MODELS},
+unit_ AS (SELECT system, ord, vec_id, list_transform(x, lambda e: e / (sqrt(list_dot_product(x, x)) + 1e-8)) AS u FROM models),
+scored AS (SELECT a.system, a.ord, "left" || '-' || "right" AS trial_id, spk_a, spk_b, label, round(list_dot_product(a.u, b.u), 12) AS score
            FROM trials JOIN unit_ a ON a.vec_id = "left" JOIN unit_ b ON b.vec_id = "right" AND a.system = b.system),
-units AS (SELECT spk, row_number() OVER (ORDER BY {sql_hash(19, 'unit', 'spk')}, spk) - 1 AS pos
-          FROM (SELECT spk_a AS spk FROM trials UNION SELECT spk_b FROM trials)),
-{_sql_draws('units', 400, 19)},
-mult AS (SELECT replicate, spk, count(*) AS m FROM draws JOIN units USING (pos) GROUP BY ALL),
-weighted AS (SELECT a.replicate, system, ord, label, score, CASE WHEN label = 1 THEN a.m ELSE a.m * b.m END AS w
-             FROM scored JOIN mult a ON a.spk = spk_a JOIN mult b ON b.spk = spk_b AND a.replicate = b.replicate),
-valid AS (SELECT replicate FROM weighted GROUP BY replicate HAVING count(DISTINCT label) = 2 ORDER BY replicate LIMIT {CLUSTER_REPLICATES}),
+{units},
+{sql_draws('units', REPLICATES + 100, 19)},
+mult AS (SELECT replicate, unit, count(*) AS m FROM draws JOIN units USING (pos) GROUP BY ALL),
+weighted AS ({weighted}),
+valid AS (SELECT replicate FROM weighted GROUP BY replicate HAVING count(DISTINCT label) = 2 ORDER BY replicate LIMIT {REPLICATES}),
 everything AS (SELECT replicate, system, ord, label, score, w FROM weighted JOIN valid USING (replicate)
                UNION ALL SELECT -1, system, ord, label, score, 1 FROM scored),
 {sql_eer('everything', 'replicate, system, ord', 'w')},
@@ -452,12 +456,26 @@ boot AS (SELECT metric, system, ord, replicate, value FROM both_ WHERE replicate
 """
 
 
+SQL_VERIFICATION_BOOTSTRAP = _sql_verification(
+    f"""units AS (SELECT spk AS unit, row_number() OVER (ORDER BY {sql_hash(19, 'unit', 'spk')}, spk) - 1 AS pos
+          FROM (SELECT spk_a AS spk FROM trials UNION SELECT spk_b FROM trials))""",
+    """SELECT a.replicate, system, ord, label, score, CASE WHEN label = 1 THEN a.m ELSE a.m * b.m END AS w
+       FROM scored JOIN mult a ON a.unit = spk_a JOIN mult b ON b.unit = spk_b AND a.replicate = b.replicate""",
+)
+
+SQL_VERIFICATION_TRIALS = _sql_verification(
+    f"""units AS (SELECT trial_id AS unit, row_number() OVER (ORDER BY {sql_hash(19, 'unit', 'trial_id')}, trial_id) - 1 AS pos
+          FROM (SELECT DISTINCT trial_id FROM scored))""",
+    "SELECT replicate, system, ord, label, score, m AS w FROM scored JOIN mult ON unit = trial_id",
+)
+
+
 def leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two models under two poolings, ranked by EER over all pairs."""
     utts = utterances(spark, sf_dir)
     models = {
-        "full": F.col("embedding"),
-        "half": F.slice("embedding", 1, 32),
+        "plain": F.col("embedding"),
+        "root": rooted("embedding"),
     }
     rows = None
     for pool in ("mean", "meanstd"):
@@ -473,9 +491,8 @@ def leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL_LEADERBOARD = f"""
-WITH {SQL_UTTERANCES},
-vec AS (SELECT 'full' AS model, vec_id, speaker, embedding AS x FROM utterances
-        UNION ALL SELECT 'half', vec_id, speaker, embedding[1:32] FROM utterances),
+WITH {SQL_UTTERANCES}, {SQL_MODELS},
+vec AS (SELECT system AS model, vec_id, speaker, x FROM models),
 dims AS (SELECT model, vec_id, speaker, d, list_avg(list_transform(range(len(x) // 8), lambda t: x[t * 8 + d + 1])) AS m,
                 list_stddev_pop(list_transform(range(len(x) // 8), lambda t: x[t * 8 + d + 1])) AS s
          FROM vec, range(8) r(d)),
@@ -591,6 +608,7 @@ QUERIES = {
     "verification_eer_mindcf": verification_eer_mindcf,
     "capped_trials": capped_trials,
     "verification_bootstrap": verification_bootstrap,
+    "verification_trial_bootstrap": verification_trial_bootstrap,
     "leaderboard": leaderboard,
     "alignment_violations": alignment_violations,
     "coverage_report": coverage_report,
@@ -610,6 +628,7 @@ ORACLES = {
     "verification_eer_mindcf": SQL_EER,
     "capped_trials": f'WITH {SQL_CAPPED} SELECT "left", "right", spk_a, spk_b, label FROM trials',
     "verification_bootstrap": SQL_VERIFICATION_BOOTSTRAP,
+    "verification_trial_bootstrap": SQL_VERIFICATION_TRIALS,
     "leaderboard": SQL_LEADERBOARD,
     "alignment_violations": SQL_ALIGNMENT,
     "coverage_report": SQL_COVERAGE,
