@@ -33,7 +33,6 @@ def test_stream_merge_equals_batch_and_survives_a_repeat(spark, written):
     for _ in range(2):
         query = logs.start_merge(logs.read_log_stream(spark, f"{written}/in", files_per_batch=1), f"{written}/out", f"{written}/cp")
         query.awaitTermination()
-    assert sum(p["rows"] for p in logs.progress(query)) == 0 or logs.progress(query)[-1]["total"] >= 0
     batch = runlogs.merge_rows(log_table(spark)).select("run", "step", "key", "value")
     assert pairs(logs.read_merged(spark, f"{written}/out"), "run", "step", "key", "value") == pairs(batch, "run", "step", "key", "value")
     logs.compact(spark, f"{written}/out", f"{written}/small")

@@ -95,3 +95,21 @@ def is_close(a: Column, b: Column, rel: float, absolute: float) -> Column:
 
 def is_finite(x: Column) -> Column:
     return x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
+
+
+def next_up(x: Column) -> Column:
+    """The next greater double of finite values; others are returned as they are.
+
+    The spacing of doubles around x is a power of two taken from its exponent.
+    ``log2`` may be off by one next to a power, which two comparisons mend.
+    """
+    two, tiny = F.lit(2.0), F.lit(5e-324)
+    size = F.greatest(F.abs(x), F.lit(2.0**-1022))
+    rough = F.floor(F.log2(size)).cast("double")
+    exponent = (
+        F.when(F.pow(two, rough) > size, rough - 1).when(F.pow(two, rough + 1) <= size, rough + 1).otherwise(rough)
+    )
+    spacing = F.greatest(F.pow(two, exponent - 52), tiny)
+    # below a power of two the spacing is half
+    inward = F.when((F.pow(two, exponent) == F.abs(x)) & (exponent > -1022), spacing / 2).otherwise(spacing)
+    return F.when(is_finite(x), x + F.when(x >= 0, spacing).otherwise(inward)).otherwise(x)

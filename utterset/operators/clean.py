@@ -144,9 +144,9 @@ def resolve_paths(df: DataFrame, files: DataFrame, *, root: str, path: str = "au
 
 
 def restore_gain(peak: Column) -> Column:
-    """Gain that brings the stored peak below full scale; 1 when it already is."""
+    """Gain that brings the stored peak below full scale, rounded up by one step; 1 when it already is."""
     return F.when(peak <= STORAGE_PEAK, F.lit(1.0)).otherwise(
-        peak / F.lit(STORAGE_PEAK) * F.lit(1.0 + GAIN_CUSHION)
+        vectors.next_up(peak / F.lit(STORAGE_PEAK) * F.lit(1.0 + GAIN_CUSHION))
     )
 
 

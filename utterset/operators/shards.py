@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -13,7 +13,7 @@ from utterset import violations as v
 from utterset.functions import paths, vectors
 from utterset.functions.hashing import order_key
 from utterset.plans.ordering import beside
-from utterset.session import sized
+from utterset.session import Scratch, sized
 
 # Fixed values of the shard format.
 BLOCK = 512
@@ -126,25 +126,80 @@ def scaling_stats(df: DataFrame, group: list[str] | None = None) -> DataFrame:
     )
 
 
+QUANT_SUMS = ("frame_count", "max_abs_error", "sum_squared_error", "sum_squared_signal")
+
+
+def partial_statistics(df: DataFrame, group: Sequence[str]) -> DataFrame:
+    """(group, stats): what must be kept of samples to merge their statistics later.
+
+    ``stats`` holds counts, sums and maxima only, so partials of parts merge in any
+    order and grouping to the partial of the whole (``merge_statistics``).
+    """
+    return df.groupBy(*group).agg(
+        F.struct(
+            F.count(F.lit(1)).alias("sample_count"),
+            F.coalesce(F.sum("frame_count"), F.lit(0)).cast("long").alias("frame_count"),
+            F.coalesce(F.max("max_abs_error"), F.lit(0.0)).alias("max_abs_error"),
+            F.coalesce(F.sum("sum_squared_error"), F.lit(0.0)).alias("sum_squared_error"),
+            F.coalesce(F.sum("sum_squared_signal"), F.lit(0.0)).alias("sum_squared_signal"),
+            F.count_if(F.col("amplitude_restore_gain") > 1.0).alias("scaled_sample_count"),
+            F.greatest(F.lit(1.0), F.coalesce(F.max("amplitude_restore_gain"), F.lit(1.0))).alias("max_restore_gain"),
+            F.coalesce(F.max("canonical_peak"), F.lit(0.0)).alias("max_canonical_peak"),
+        ).alias("stats")
+    )
+
+
+MERGES = {
+    "sample_count": F.sum, "frame_count": F.sum, "max_abs_error": F.max, "sum_squared_error": F.sum,
+    "sum_squared_signal": F.sum, "scaled_sample_count": F.sum, "max_restore_gain": F.max, "max_canonical_peak": F.max,
+}
+
+
+def merge_statistics(partials: DataFrame, group: Sequence[str] = ()) -> DataFrame:
+    """The partial of all ``stats`` of a group; merging again merged partials gives the same."""
+    return partials.groupBy(*group).agg(F.struct(*[how(f"stats.{name}").alias(name) for name, how in MERGES.items()]).alias("stats"))
+
+
+def finish_statistics(partials: DataFrame) -> DataFrame:
+    """``stats`` as (quantization, amplitude_scaling) with the root mean squares and the ratio in dB."""
+    flat = partials.select("*", "stats.*")
+    done = finalize_quant(flat)
+    names = [c for c in partials.columns if c != "stats"]
+    return done.select(
+        *names,
+        F.struct(
+            "sample_count", "frame_count", "max_abs_error", "sum_squared_error", "sum_squared_signal", "rms_error", "signal_rms", "snr_db"
+        ).alias("quantization"),
+        F.struct("scaled_sample_count", "max_restore_gain", "max_canonical_peak").alias("amplitude_scaling"),
+    )
+
+
 # -- descriptor -------------------------------------------------------------
 
 
 def shard_table(index: DataFrame, *, size: str = "encoded_byte_size") -> DataFrame:
-    """One row per shard: count, bytes and duration."""
-    return index.groupBy("shard").agg(
+    """One row per shard: count, bytes and duration, and its partial statistics where the index has them."""
+    found = index.groupBy("shard").agg(
         F.count(F.lit(1)).alias("count"),
         F.sum(size).alias("payload_bytes"),
         F.sum("duration_seconds").alias("duration_seconds"),
     )
+    if not set(QUANT_SUMS) <= set(index.columns):
+        return found
+    return found.join(partial_statistics(index, ["shard"]), "shard")
 
 
 def build_descriptor(shards: DataFrame, *, sample_rate: int) -> DataFrame:
-    """One row: contract, totals and the array of shards (shards, not rows)."""
+    """One row: contract, totals and the array of shards (shards, not rows).
+
+    With partial statistics every shard keeps its own, and the totals have them merged.
+    """
+    has_stats = "stats" in shards.columns
     entry = F.struct(
         F.concat(F.lit("shards/"), F.col("shard"), F.lit(".tar")).alias("path"),
-        F.col("count"), F.col("payload_bytes"), F.col("duration_seconds"),
+        F.col("count"), F.col("payload_bytes"), F.col("duration_seconds"), *([F.col("stats")] if has_stats else []),
     )
-    return shards.agg(
+    made = shards.agg(
         F.sum("count").alias("samples"),
         F.count(F.lit(1)).alias("n_shards"),
         F.sum("payload_bytes").alias("payload"),
@@ -160,6 +215,7 @@ def build_descriptor(shards: DataFrame, *, sample_rate: int) -> DataFrame:
         ).alias("counts"),
         "shards",
     )
+    return beside(made, finish_statistics(merge_statistics(shards))) if has_stats else made
 
 
 def descriptor_rows(descriptor: DataFrame) -> DataFrame:
@@ -255,25 +311,25 @@ def verify_dataset(index: DataFrame, shards: DataFrame, data: DataFrame) -> Data
     return v.union_all([per_shard, members, v.duplicates(index, "sample_id", "duplicate_sample")])
 
 
-def audit_parity(packed: DataFrame, source: DataFrame, *, key: str, samples: str, tolerance: float) -> tuple[DataFrame, DataFrame]:
-    """(failures, one-row totals) of packed against source samples."""
-    a = packed.select(key, vectors.as_double(F.col(samples)).alias("_a"))
-    b = source.select(key, vectors.as_double(F.col(samples)).alias("_b"))
-    joined = a.join(b, key, "full_outer").select(
-        key, F.coalesce(F.size("_a") != F.size("_b"), F.lit(True)).alias("mismatch"),
-        F.size("_b").alias("frames"),
-        vectors.max_abs_difference(F.col("_a"), F.col("_b")).alias("max_abs_error"),
-        vectors.total(F.zip_with("_a", "_b", lambda x, y: (x - y) * (x - y))).alias("squared"),
-        F.array_max(F.transform("_b", lambda x: F.abs(x))).alias("source_peak"),
-        F.array_max(F.transform("_a", lambda x: F.abs(x))).alias("packed_peak"),
-    )
+def _differences(a: Column, b: Column) -> list[Column]:
+    """Columns (mismatch, frames, max_abs_error, squared, source_peak, packed_peak) of packed ``a`` and source ``b``."""
+    return [
+        F.coalesce(F.size(a) != F.size(b), F.lit(True)).alias("mismatch"),
+        F.size(b).alias("frames"),
+        vectors.max_abs_difference(a, b).alias("max_abs_error"),
+        vectors.total(F.zip_with(a, b, lambda x, y: (x - y) * (x - y))).alias("squared"),
+        F.array_max(F.transform(b, lambda x: F.abs(x))).alias("source_peak"),
+        F.array_max(F.transform(a, lambda x: F.abs(x))).alias("packed_peak"),
+    ]
+
+
+def _parity_report(compared: DataFrame, key: str, tolerance: float) -> tuple[DataFrame, DataFrame]:
     over = F.col("mismatch") | (F.col("max_abs_error") > tolerance)
-    failures = joined.where(over).select(
+    failures = compared.where(over).select(
         key, F.when(F.col("mismatch"), "frame_count").otherwise("max_abs_error").alias("reason"),
         F.when(~F.col("mismatch"), F.col("max_abs_error")).alias("max_abs_error"), "source_peak", "packed_peak",
     )
-    good = joined.where(~F.col("mismatch"))
-    totals = good.agg(
+    totals = compared.where(~F.col("mismatch")).agg(
         F.count(F.lit(1)).alias("records"),
         F.sum("frames").alias("frames"),
         F.max("max_abs_error").alias("max_abs_error"),
@@ -283,6 +339,92 @@ def audit_parity(packed: DataFrame, source: DataFrame, *, key: str, samples: str
     return failures, totals
 
 
+def _compared(packed: DataFrame, source: DataFrame, key: str, samples: str) -> DataFrame:
+    a = packed.select(key, vectors.as_double(F.col(samples)).alias("_a"))
+    b = source.select(key, vectors.as_double(F.col(samples)).alias("_b"))
+    return a.join(b, key, "full_outer").select(key, *_differences(F.col("_a"), F.col("_b")))
+
+
+def audit_parity(packed: DataFrame, source: DataFrame, *, key: str, samples: str, tolerance: float) -> tuple[DataFrame, DataFrame]:
+    """(failures, one-row totals) of packed against source samples: every row's samples meet in a join."""
+    return _parity_report(_compared(packed, source, key, samples), key, tolerance)
+
+
+def differing_keys(left: DataFrame, right: DataFrame, key: str, levels: Sequence[int], scratch: Scratch) -> DataFrame:
+    """Keys whose digests differ, are repeated or stand on one side only.
+
+    Both tables have (key, one, two), two digests of a row.  Rows lie in ranges of
+    their key's hash.  A range is compared by its count, the xor and the sum of its
+    digests, which no order of rows changes; the next level looks only into ranges
+    that differ, and at last their rows are compared by key.
+    """
+    sides = [
+        scratch.keep(df.select(key, "one", "two", order_key(0, "audit", key).alias("h")), "digests") for df in (left, right)
+    ]
+    open_ = None
+    for digits in levels:
+        if open_ is not None:
+            depth = open_.first()
+            if depth is None:
+                break
+            width = len(depth["range"])
+            sides_now = [s.join(open_, F.substring("h", 1, width) == F.col("range"), "left_semi") for s in sides]
+        else:
+            sides_now = sides
+        sums = [
+            s.groupBy(F.substring("h", 1, digits).alias("range")).agg(
+                F.struct(
+                    F.count(F.lit(1)), F.bit_xor("one"), F.sum(F.col("two").cast("decimal(38,0)"))
+                ).alias("digest")
+            )
+            for s in sides_now
+        ]
+        both = sums[0].withColumnRenamed("digest", "d1").join(sums[1].withColumnRenamed("digest", "d2"), "range", "full_outer")
+        open_ = scratch.keep(both.where(~F.col("d1").eqNullSafe(F.col("d2"))).select("range"), "ranges")
+    width = levels[-1]
+    rows = [
+        s.join(open_, F.substring("h", 1, width) == F.col("range"), "left_semi").groupBy(key).agg(
+            F.sort_array(F.collect_list(F.struct("one", "two"))).alias("d")
+        )
+        for s in sides
+    ]
+    both = rows[0].withColumnRenamed("d", "d1").join(rows[1].withColumnRenamed("d", "d2"), key, "full_outer")
+    return scratch.keep(both.where(~F.col("d1").eqNullSafe(F.col("d2"))).select(key), "differing")
+
+
+def audit_all(
+    packed: DataFrame,
+    source: DataFrame,
+    *,
+    key: str,
+    samples: str,
+    stored: Callable[[Column], Column],
+    tolerance: float,
+    levels: Sequence[int] = (2, 4),
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(failures, one-row totals, shipped keys) of every row of packed against source samples.
+
+    ``stored`` maps source samples (array<double>) to what packing stores of them.
+    Each side digests its own rows where they lie; rows whose digests agree are
+    stored as they should be, so their error is measured on the source alone, and only
+    rows that differ send their samples into a join.  ``levels`` are the digits of
+    the ranges of ``differing_keys``.
+    """
+    scratch = Scratch(packed.sparkSession, "audit")
+    own = vectors.as_double(F.col(samples))
+
+    def digests(df: DataFrame, values: Column) -> DataFrame:
+        made = df.select(key, values.alias("_v"))
+        return made.select(key, F.xxhash64(key, "_v").alias("one"), F.xxhash64("_v", F.lit("audit"), key).alias("two"))
+
+    shipped = differing_keys(digests(packed, own), digests(source, stored(own)), key, levels, scratch)
+    apart = _compared(packed.join(shipped, key, "left_semi"), source.join(shipped, key, "left_semi"), key, samples)
+    kept = source.join(shipped, key, "left_anti").select(key, own.alias("_b")).withColumn("_a", stored(F.col("_b")))
+    alike = kept.select(key, *_differences(F.col("_a"), F.col("_b")))
+    compared = scratch.keep(apart.unionByName(alike), "compared")
+    return (*_parity_report(compared, key, tolerance), shipped)
+
+
 # -- epoch planning ---------------------------------------------------------
 
 

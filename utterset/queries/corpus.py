@@ -438,29 +438,38 @@ def inventory_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(F.col("quality") == 1, F.concat(F.lit('{"audio_filepath": "x.flac", "duration": NaN, "id": "'), "id", F.lit('"}')))
     )
     twice = F.when(F.col("quality").isNull() & (F.col("language") == "en"), F.lit(2)).otherwise(F.lit(1))
-    lines = marked.select(F.explode(F.array_repeat(F.coalesce(broken, line), twice)).alias("value"))
+    # broken lines stand twice too: equal ones are told apart by their numbers
+    twice = F.when(broken.isNotNull(), F.lit(2)).otherwise(twice)
+    lines = marked.select("dataset", F.col("id").cast("long").alias("no"), F.explode(F.array_repeat(F.coalesce(broken, line), twice)).alias("value"))
     path = scratch_path(spark, "inventory")
-    lines.write.text(path)
+    lines.repartition("dataset").sortWithinPartitions("dataset", "no").select("value", "dataset").write.partitionBy("dataset").text(path)
     rows, found = manifests.read_inventory(spark, path)
     unsafe = manifests.unsafe_paths(
         rows.where(F.col("language") == "de").select(
             F.concat(F.lit("../"), "audio_filepath").alias("audio_filepath")
         )
     )
+    number = F.regexp_extract("key", r"\.txt:(\d+)$", 1).try_cast("bigint")
     return found.unionByName(unsafe).groupBy("rule").agg(
-        F.count(F.lit(1)).alias("n"), F.count_distinct("key").alias("keys")
-    ).unionByName(rows.agg(F.lit("rows").alias("rule"), F.count(F.lit(1)).alias("n"), F.count_distinct("sample_id").alias("keys")))
+        F.count(F.lit(1)).alias("n"), F.count_distinct("key").alias("keys"), F.coalesce(F.sum(number), F.lit(0)).alias("line_sum")
+    ).unionByName(
+        rows.agg(
+            F.lit("rows").alias("rule"), F.count(F.lit(1)).alias("n"), F.count_distinct("sample_id").alias("keys"),
+            F.lit(0).cast("long").alias("line_sum"),
+        )
+    )
 
 
 SQL_INVENTORY = """
-WITH r AS (SELECT d.*, quality, toxic FROM documents d LEFT JOIN labels USING (doc_id))
-SELECT 'invalid_json' AS rule, count(*) AS n, count(*) AS keys FROM r WHERE quality = 0 AND toxic = 1
-UNION ALL SELECT 'not_an_object', count(*), count(*) FROM r WHERE quality = 1 AND toxic = 1
-UNION ALL SELECT 'missing_path', count(*), count(*) FROM r WHERE quality = 0 AND toxic = 0
-UNION ALL SELECT 'non_finite_number', count(*), count(*) FROM r WHERE quality = 1 AND toxic = 0
-UNION ALL SELECT 'duplicate_sample', count(*), count(*) FROM r WHERE quality IS NULL AND lang = 'en'
-UNION ALL SELECT 'unsafe_path', count(*), count(*) FROM r WHERE quality IS NULL AND lang = 'de'
-UNION ALL SELECT 'rows', sum(CASE WHEN lang = 'en' THEN 2 ELSE 1 END)::BIGINT, count(*) FROM r WHERE quality IS NULL
+WITH r AS (SELECT d.*, quality, toxic, CASE WHEN quality IS NOT NULL OR lang = 'en' THEN 2 ELSE 1 END AS copies
+           FROM documents d LEFT JOIN labels USING (doc_id)),
+l AS (SELECT r.*, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS line FROM r, LATERAL (SELECT unnest(range(copies))) x(copy)),
+f AS (SELECT *, CASE WHEN quality = 0 AND toxic = 1 THEN 'invalid_json' WHEN toxic = 1 THEN 'not_an_object'
+                     WHEN quality = 0 THEN 'missing_path' WHEN quality = 1 THEN 'non_finite_number' END AS rule FROM l)
+SELECT rule, count(*) AS n, count(DISTINCT source || ':' || line) AS keys, sum(line)::BIGINT AS line_sum FROM f WHERE rule IS NOT NULL GROUP BY rule
+UNION ALL SELECT 'duplicate_sample', count(*), count(*), 0 FROM r WHERE quality IS NULL AND lang = 'en'
+UNION ALL SELECT 'unsafe_path', count(*), count(*), 0 FROM r WHERE quality IS NULL AND lang = 'de'
+UNION ALL SELECT 'rows', sum(copies)::BIGINT, count(*), 0 FROM r WHERE quality IS NULL
 """
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from utterset.operators import reports, runlogs
 from utterset.queries.common import rounded, sql_round, table
 from utterset.session import scratch_path
-from utterset.streaming import logs
+from utterset.streaming import logs, progress
 
 METRICS = ("click", "view", "signup", "purchase", "error")
 
@@ -98,12 +98,39 @@ SQL_STREAM_MERGE = """
 SELECT 'run' || user_id % 3 AS run, event_id // 16 AS step, event_type AS key, arg_max(value, event_id) AS value FROM events GROUP BY ALL
 """
 
+def stream_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream over one file per event type: what the stored progress says of its batches."""
+    root = scratch_path(spark, "progress")
+    log = event_log(spark, sf_dir, step_width=16, runs=3)
+    log.withColumn("kind", F.col("key")).repartition("kind").write.partitionBy("kind").json(f"{root}/in")
+    seen = progress.ProgressTable(spark, f"{root}/progress")
+    spark.streams.addListener(seen)
+    try:
+        query = logs.start_merge(
+            logs.read_log_stream(spark, f"{root}/in/*", files_per_batch=1), f"{root}/merged", f"{root}/checkpoint"
+        )
+        query.awaitTermination()
+        seen.wait(query)
+    finally:
+        spark.streams.removeListener(seen)
+    stored = progress.read_progress(spark, f"{root}/progress", expected_rows=log.count()).where("rows > 0")
+    return stored.agg(
+        F.count(F.lit(1)).alias("batches"), F.sum("rows").alias("n"), F.max("total").alias("total"),
+        F.min("eta_seconds").alias("last_eta"), F.count_if(F.col("rate") > 0).alias("rated"),
+    )
+
+
+SQL_STREAM_PROGRESS = """
+SELECT count(DISTINCT event_type) AS batches, count(*) AS n, count(*) AS total, 0::DOUBLE AS last_eta, count(DISTINCT event_type) AS rated FROM events
+"""
+
 QUERIES = {
     "log_merge_last_wins": log_merge_last_wins,
     "common_steps": common_steps,
     "interval_metrics": interval_metrics,
     "exposure_hours": exposure_hours,
     "stream_log_merge": stream_log_merge,
+    "stream_progress": stream_progress,
 }
 
 ORACLES = {
@@ -112,4 +139,5 @@ ORACLES = {
     "interval_metrics": SQL_INTERVAL,
     "exposure_hours": SQL_EXPOSURE,
     "stream_log_merge": SQL_STREAM_MERGE,
+    "stream_progress": SQL_STREAM_PROGRESS,
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from utterset.functions import vectors
@@ -12,6 +12,7 @@ from utterset.queries.common import SQL_UTTERANCES, rounded, sql_hash, sql_round
 from utterset.session import cut_lineage, scratch_path, spread
 from utterset.sinks import writers
 from utterset.sources import results
+from utterset.streaming import ledger
 
 TARGET = 131072
 
@@ -75,14 +76,19 @@ SELECT rule, n, keys FROM (
 
 
 def descriptor_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Shards written and read back; totals of the descriptor and its checks."""
+    """Shards written and read back; totals of the descriptor, its merged statistics and its checks."""
     root = scratch_path(spark, "packed")
     packed = packed_documents(spark, sf_dir)
     writers.write_shards(packed, f"{root}/shards", key="doc_id", seed=47)
     stored = spark.read.parquet(f"{root}/shards")
     index = writers.index_of(sample_index(stored))
+    measured = index.select(
+        "shard", "encoded_byte_size", "duration_seconds", "frame_count",
+        (F.pmod("frame_count", F.lit(7)) / 1000.0).alias("max_abs_error"), (F.col("frame_count") / 1024.0).alias("sum_squared_error"),
+        (F.col("frame_count") * 2.0).alias("sum_squared_signal"), (F.col("frame_count") / 4000.0).alias("canonical_peak"),
+    ).withColumn("amplitude_restore_gain", clean.restore_gain(F.col("canonical_peak")))
     writers.write_descriptor(
-        shards.build_descriptor(shards.shard_table(index), sample_rate=16000), f"{root}/descriptor.json"
+        shards.build_descriptor(shards.shard_table(measured), sample_rate=16000), f"{root}/descriptor.json"
     )
     descriptor = results.read_descriptor(spark, f"{root}/descriptor.json")
     clean_run = shards.descriptor_violations(descriptor, sample_rate=16000)
@@ -96,17 +102,71 @@ def descriptor_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sum("count").alias("samples"), F.count(F.lit(1)).alias("n_shards"), F.sum("payload_bytes").alias("payload_bytes"),
         F.sum("duration_seconds").alias("seconds"),
     )
+    # the shards' stored partials merged again give what the descriptor says
+    again = shards.finish_statistics(shards.merge_statistics(rows))
+    same = beside(
+        descriptor.select(F.struct("quantization.frame_count", "quantization.max_abs_error", "amplitude_scaling").alias("said")),
+        again.select(F.struct("quantization.frame_count", "quantization.max_abs_error", "amplitude_scaling").alias("merged")),
+    ).select((F.to_json("said") == F.to_json("merged")).alias("merges"))
+    said = descriptor.select(
+        "quantization.max_abs_error", "quantization.rms_error", "quantization.snr_db", "amplitude_scaling.scaled_sample_count",
+        "amplitude_scaling.max_restore_gain", "amplitude_scaling.max_canonical_peak",
+    )
     one = beside(
-        beside(totals, clean_run.agg(F.count(F.lit(1)).alias("violations"))),
+        beside(beside(beside(totals, said), same), clean_run.agg(F.count(F.lit(1)).alias("violations"))),
         planted.agg(F.array_join(F.array_sort(F.collect_set("rule")), ",").alias("planted")),
     )
-    return rounded(one, "seconds", digits=2)
+    return rounded(rounded(one, "seconds", digits=2), "max_abs_error", "rms_error", "snr_db", "max_restore_gain", "max_canonical_peak")
 
 
 SQL_DESCRIPTOR = f"""
-WITH RECURSIVE {SQL_PACKED}
+WITH RECURSIVE {SQL_PACKED},
+m AS (SELECT *, n_chars / 4000.0::DOUBLE AS peak FROM named)
 SELECT count(*) AS samples, count(DISTINCT shard) AS n_shards, sum(n_chars)::BIGINT AS payload_bytes,
-       {sql_round('sum(n_chars / 100.0::DOUBLE)', 2)} AS seconds, 0::BIGINT AS violations, 'kind,sample_rate,unsafe_path' AS planted FROM named
+       {sql_round('sum(n_chars / 100.0::DOUBLE)', 2)} AS seconds, {sql_round('max(n_chars % 7) / 1000.0::DOUBLE')} AS max_abs_error,
+       {sql_round('sqrt(1 / 1024.0::DOUBLE)')} AS rms_error, {sql_round('10 * log10(2048.0::DOUBLE)')} AS snr_db,
+       count(*) FILTER (peak > 0.999) AS scaled_sample_count,
+       {sql_round('greatest(1, max(peak) / 0.999::DOUBLE * 1.000001::DOUBLE)')} AS max_restore_gain,
+       {sql_round('max(peak)')} AS max_canonical_peak, true AS merges,
+       0::BIGINT AS violations, 'kind,sample_rate,unsafe_path' AS planted FROM m
+"""
+
+
+# -- runs that stop ---------------------------------------------------------
+
+WAVES, STOPPED = 5, 2
+
+
+class Stopped(Exception):
+    """The planted end of a run."""
+
+
+def resumed_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents packed by a run that stops in its third wave and by one that goes on."""
+    path = scratch_path(spark, "resumed")
+    rows = cut_lineage(packed_documents(spark, sf_dir).select("doc_id", "n_chars", "text", "shard"), "to-pack")
+
+    def stop(wave: int) -> None:
+        if wave == STOPPED:
+            raise Stopped
+
+    settings = {"target": str(TARGET), "seed": "47"}
+    try:
+        ledger.pack_shards(rows, path, settings=settings, waves=WAVES, order="doc_id", before_commit=stop)
+    except Stopped:
+        pass
+    book, _ = ledger.pack_shards(rows, path, settings=settings, waves=WAVES, order="doc_id")
+    begun = book.entries().where("event = 'begun'").groupBy("shard").agg(F.count(F.lit(1)).alias("attempts"))
+    packed = book.read().groupBy("shard").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars"), F.count_distinct("doc_id").alias("docs")
+    )
+    return packed.join(begun, "shard")
+
+
+SQL_RESUMED = f"""
+WITH RECURSIVE {SQL_PACKED},
+s AS (SELECT shard, count(*) AS n, sum(n_chars)::BIGINT AS chars, count(DISTINCT doc_id) AS docs FROM named GROUP BY shard)
+SELECT *, CASE WHEN ntile({WAVES}) OVER (ORDER BY shard) - 1 = {STOPPED} THEN 2 ELSE 1 END::BIGINT AS attempts FROM s
 """
 
 
@@ -183,7 +243,8 @@ def amplitude_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL_AMPLITUDE = """
 WITH r AS (SELECT l_linenumber AS line, l_extendedprice / 50000.0::DOUBLE AS peak FROM lineitem),
-g AS (SELECT *, CASE WHEN peak <= 0.999::DOUBLE THEN 1.0::DOUBLE ELSE peak / 0.999::DOUBLE * 1.000001::DOUBLE END AS gain0 FROM r),
+g AS (SELECT *, CASE WHEN peak <= 0.999::DOUBLE THEN 1.0::DOUBLE
+                     ELSE nextafter(peak / 0.999::DOUBLE * 1.000001::DOUBLE, 'infinity'::DOUBLE) END AS gain0 FROM r),
 s AS (SELECT line, peak, peak / gain0 * CASE WHEN line = 7 THEN 1.01::DOUBLE ELSE 1.0::DOUBLE END AS storage,
              CASE WHEN line = 6 THEN NULL WHEN line = 5 THEN gain0 * 0.5::DOUBLE ELSE gain0 END AS gain FROM g),
 f AS (SELECT gain IS NULL AS a, gain < 1 AS b, gain IS NOT NULL AND storage > 0.999::DOUBLE AS c,
@@ -219,14 +280,66 @@ FROM r GROUP BY l_returnflag
 """
 
 
+def restore_gains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The gain of every distinct stored peak, to the last bit."""
+    peak = (F.col("l_extendedprice") / 50000.0).alias("peak")
+    return table(spark, sf_dir, "lineitem").select(peak).distinct().withColumn("gain", clean.restore_gain(F.col("peak")))
+
+
+SQL_GAINS = """
+SELECT peak, CASE WHEN peak <= 0.999::DOUBLE THEN 1.0::DOUBLE
+                  ELSE nextafter(peak / 0.999::DOUBLE * 1.000001::DOUBLE, 'infinity'::DOUBLE) END AS gain
+FROM (SELECT DISTINCT l_extendedprice / 50000.0::DOUBLE AS peak FROM lineitem)
+"""
+
+
+def _stored(samples: Column) -> Column:
+    return F.transform(samples, lambda x: F.round(x, 3))
+
+
 def parity_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vectors against copies kept to three digits, on rows of four audited shards."""
+    """Every vector against its copy kept to three digits; some copies are short, off, gone or of nothing."""
+    source = table(spark, sf_dir, "embeddings").select("vec_id", vectors.as_double(F.col("embedding")).alias("samples"))
+    no, kept = F.col("vec_id"), _stored(F.col("samples"))
+    damaged = (
+        F.when(no % 50 == 7, F.slice(kept, 1, 63))
+        .when(no % 97 == 5, F.transform(kept, lambda x, i: F.when(i == 3, x + 0.01).otherwise(x)))
+        .otherwise(kept)
+    )
+    packed = source.where(no % 101 != 3).select("vec_id", damaged.alias("samples"))
+    extra = source.where(no % 83 == 1).select((-1 - no).alias("vec_id"), kept.alias("samples"))
+    failures, totals, shipped = shards.audit_all(
+        packed.unionByName(extra), source, key="vec_id", samples="samples", stored=_stored, tolerance=0.005
+    )
+    reasons = failures.agg(
+        F.count_if(F.col("reason") == "frame_count").alias("mismatched"),
+        F.count_if(F.col("reason") == "max_abs_error").alias("over"),
+    )
+    counted = shipped.agg(F.count(F.lit(1)).alias("shipped"))
+    return rounded(beside(beside(totals, reasons), counted), "max_abs_error", "rms_error", digits=9)
+
+
+SQL_PARITY = f"""
+WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS x, vec_id % 101 = 3 AS gone, vec_id % 50 = 7 AS short,
+                  vec_id % 97 = 5 AND vec_id % 50 <> 7 AS off, vec_id % 83 = 1 AS extra FROM embeddings),
+d AS (SELECT *, list_transform(x, lambda e, i : abs(round(e, 3) + CASE WHEN off AND i = 4 THEN 0.01::DOUBLE ELSE 0 END - e)) AS e FROM v),
+g AS (SELECT list_max(e) AS m, len(x) AS n, list_sum(list_transform(e, lambda y : y * y)) AS sq FROM d WHERE NOT gone AND NOT short),
+c AS (SELECT count(*) FILTER (gone OR short OR off) + count(*) FILTER (extra) AS shipped,
+             count(*) FILTER (gone OR short) + count(*) FILTER (extra) AS mismatched FROM v)
+SELECT count(*) AS records, sum(n)::BIGINT AS frames, {sql_round('max(m)', 9)} AS max_abs_error, {sql_round('sqrt(sum(sq) / sum(n))', 9)} AS rms_error,
+       count(*) FILTER (m > 0.005) AS failures, any_value(mismatched) AS mismatched, count(*) FILTER (m > 0.005) AS over, any_value(shipped) AS shipped
+FROM g, c
+"""
+
+
+def sampled_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quick audit: sixty rows of four drawn shards, their samples compared one by one."""
     rows = utterances(spark, sf_dir).select(
         "vec_id", F.col("speaker").cast("string").alias("shard"), "label", vectors.as_double(F.col("embedding")).alias("samples")
     )
     audited = cut_lineage(sampling.sample_rows_in_shards(rows, "vec_id", shards=4, rows=60, seed=61), "audit")
     short = F.when(F.col("label") == 3, F.slice("samples", 1, 63)).otherwise(F.col("samples"))
-    packed = audited.select("vec_id", F.transform(short, lambda x: F.round(x, 3)).alias("samples"))
+    packed = audited.select("vec_id", _stored(short).alias("samples"))
     failures, totals = shards.audit_parity(packed, audited, key="vec_id", samples="samples", tolerance=0.00049)
     reasons = failures.agg(
         F.count_if(F.col("reason") == "frame_count").alias("mismatched"),
@@ -235,7 +348,7 @@ def parity_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(beside(totals, reasons), "max_abs_error", "rms_error", digits=9)
 
 
-SQL_PARITY = f"""
+SQL_SAMPLED_AUDIT = f"""
 WITH {SQL_UTTERANCES},
 chosen AS (SELECT speaker FROM (SELECT DISTINCT speaker FROM utterances) ORDER BY {sql_hash(61, 'shards', 'speaker')}, speaker::VARCHAR LIMIT 4),
 audited AS (SELECT vec_id, label, embedding AS x FROM utterances WHERE speaker IN (SELECT speaker FROM chosen)
@@ -256,7 +369,10 @@ QUERIES = {
     "epoch_selection": epoch_selection,
     "amplitude_contract": amplitude_contract,
     "stored_statistics": stored_statistics,
+    "restore_gains": restore_gains,
     "parity_audit": parity_audit,
+    "sampled_audit": sampled_audit,
+    "resumed_packing": resumed_packing,
 }
 
 ORACLES = {
@@ -267,5 +383,8 @@ ORACLES = {
     "epoch_selection": SQL_EPOCH,
     "amplitude_contract": SQL_AMPLITUDE,
     "stored_statistics": SQL_STORED,
+    "restore_gains": SQL_GAINS,
     "parity_audit": SQL_PARITY,
+    "sampled_audit": SQL_SAMPLED_AUDIT,
+    "resumed_packing": SQL_RESUMED,
 }

@@ -11,11 +11,18 @@ from utterset import violations as v
 from utterset.operators.reports import fingerprint
 from utterset.operators.sampling import with_permutation
 from utterset.schemas import INDEX_SCHEMA
+from utterset.sinks.published import publish
 
 
-def write_manifest(df: DataFrame, path: str) -> None:
-    """JSON lines; the job commit publishes all files or none."""
-    df.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+def write_manifest(df: DataFrame, path: str) -> str:
+    """JSON lines as a new version of ``path``, published whole or not at all; returns its folder.
+
+    Readers take ``published.current_folder``; a failed write leaves the old manifest current.
+    """
+    def lines(rows: DataFrame, folder: str) -> None:
+        rows.write.option("ignoreNullFields", "false").json(folder)
+
+    return f"{path}/{publish(df, path, lines)}"
 
 
 def write_splits(df: DataFrame, path: str, split: str = "split") -> None:

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from utterset import violations as v
 from utterset.functions import paths
 from utterset.operators.clean import with_sample_id
 from utterset.schemas import MANIFEST_SCHEMA
+from utterset.session import sized
 
 _TYPES = {"string": "string", "double": "double", "int": "int"}
 
@@ -24,6 +25,29 @@ def _lines(spark: SparkSession, sources: str | Sequence[str]) -> DataFrame:
     )
 
 
+def numbered_lines(spark: SparkSession, sources: str | Sequence[str]) -> DataFrame:
+    """(value, manifest, line): every line with its number in its file, from 1, blank lines included.
+
+    Large files are read in blocks by several tasks.  A block's lines follow each
+    other in one task, so a line's place in the task less the block's first place is
+    its place in the block; running totals of the blocks' line counts, one row per
+    block, do the rest.  The text is read twice and never shuffled or sorted.
+    """
+    files = [sources] if isinstance(sources, str) else list(sources)
+    read = spark.read.text(files).select(
+        "value", F.col("_metadata.file_path").alias("manifest"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("place"),
+    )
+    blocks = read.groupBy("manifest", "block").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("first"))
+    before = Window.partitionBy("manifest").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = blocks.select(
+        "manifest", "block", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first") + 1).alias("shift")
+    )
+    return read.join(sized(starts), ["manifest", "block"]).select(
+        "value", "manifest", (F.col("place") + F.col("shift")).alias("line")
+    )
+
+
 def read_manifest(spark: SparkSession, sources: str | Sequence[str]) -> DataFrame:
     """The manifest core, the whole row as VARIANT ``extra``, and its root.
 
@@ -43,18 +67,18 @@ def read_inventory(spark: SparkSession, source: str) -> tuple[DataFrame, DataFra
     """(rows, violations) of one manifest under the strict rules.
 
     Broken JSON, non-objects, missing paths and non-standard numbers are named by
-    12 digits of the line's digest and carry the whole line; repeated identities by
-    the identity.  A row without an ID is named by its whole content, unknown keys
+    file and line number (``path:line``) and carry the whole line; repeated identities
+    by the identity.  Blank lines are counted and skipped.  A row without an ID is named by its whole content, unknown keys
     included, with the keys of every level in order.
     """
-    lines = _lines(spark, source).withColumn("extra", F.try_parse_json("value"))
+    lines = numbered_lines(spark, source).where(F.trim("value") != "").withColumn("extra", F.try_parse_json("value"))
     kind = F.schema_of_variant("extra")
     is_object = F.coalesce(kind.startswith("OBJECT"), F.lit(False))
     # NaN and Infinity are no JSON numbers; only the lenient reader takes them
     lenient = F.from_json("value", "map<string,string>", {"allowNonNumericNumbers": "true"})
     odd_number = F.col("extra").isNull() & lenient.isNotNull()
     path = F.try_variant_get("extra", "$.audio_filepath", "string")
-    key = F.substring(F.sha2("value", 256), 1, 12)
+    key = F.concat_ws(":", "manifest", "line")
     checked = v.rules(
         lines.withColumn("_path", path),
         key,

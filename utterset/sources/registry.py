@@ -87,10 +87,11 @@ def inline_parquet(spark: SparkSession, root: str, *, dataset: str, language: st
 
 
 def ready_manifest(spark: SparkSession, root: str, *, dataset: str, language: str) -> DataFrame:
-    """A JSONL manifest under a new source name."""
+    """A JSONL manifest, published or plain, under a new source name."""
+    from utterset.sinks.published import resolve
     from utterset.sources.manifest import read_manifest
 
-    return as_manifest(read_manifest(spark, f"{root}/manifest.jsonl"), dataset=F.lit(dataset))
+    return as_manifest(read_manifest(spark, resolve(spark, f"{root}/manifest.jsonl")), dataset=F.lit(dataset))
 
 
 LAYOUTS: dict[str, Callable[..., DataFrame]] = {

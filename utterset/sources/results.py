@@ -192,10 +192,16 @@ def log_violations(lines: DataFrame) -> DataFrame:
     )
 
 
+_STATS = (
+    "sample_count: bigint, frame_count: bigint, max_abs_error: double, sum_squared_error: double, sum_squared_signal: double"
+)
+_SCALING = "scaled_sample_count: bigint, max_restore_gain: double, max_canonical_peak: double"
 DESCRIPTOR_SCHEMA = (
     "kind string, format_version int, sample_rate int, "
     "counts struct<samples: bigint, shards: bigint, total_duration_seconds: double, total_audio_payload_bytes: bigint>, "
-    "shards array<struct<path: string, count: bigint, payload_bytes: bigint, duration_seconds: double>>"
+    "shards array<struct<path: string, count: bigint, payload_bytes: bigint, duration_seconds: double, "
+    f"stats: struct<{_STATS}, {_SCALING}>>>, "
+    f"quantization struct<{_STATS}, rms_error: double, signal_rms: double, snr_db: double>, amplitude_scaling struct<{_SCALING}>"
 )
 
 

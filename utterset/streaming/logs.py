@@ -91,13 +91,3 @@ def window_means(stream: DataFrame, *, ts: str = "ts", window: str = "10 minutes
         .agg(F.avg("value").alias("mean"), F.count("value").alias("count"))
         .select(F.col("w.start").alias("window_start"), "key", "mean", "count")
     )
-
-
-def progress(query: StreamingQuery) -> list[dict[str, Any]]:
-    """Rows and rate of every finished micro-batch, with running totals."""
-    total, out = 0, []
-    for p in query.recentProgress:
-        rows = int(p["numInputRows"])
-        total += rows
-        out.append({"batch": int(p["batchId"]), "rows": rows, "total": total, "rate": p.get("processedRowsPerSecond")})
-    return out
