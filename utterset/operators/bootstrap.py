@@ -91,15 +91,16 @@ def refuse_unpaired(
     wrong; only then are the faults listed.
     """
     keys = ["system", "seed", *([also] if also else [])]
-    cells = entries.select(*keys).distinct()
-    n_cells = cells.count()
-    runs = [tuple(r) for r in cells.select("system", "seed").distinct().collect()]
+    cells = [tuple(r) for r in entries.select(*keys).distinct().collect()]
+    runs = {(s, k) for s, k, *_ in cells}
     seeds = {s: {k for t, k in runs if t == s} for s, _ in runs}
     state = F.hash(*fixed) if fixed else F.lit(0)
     wrong = ~vectors.is_finite(F.col(value)) if value else F.lit(False)
-    whole = (F.col("n") == n_cells) & (F.col("cells") == n_cells) & (F.col("lo") == F.col("hi")) & ~F.col("wrong")
+    here = [reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(x) for k, x in zip(keys, cell)]) for cell in cells]
+    once = reduce(lambda a, b: a & b, [F.col(f"n{i}") == 1 for i in range(len(cells))], F.lit(True))
+    whole = once & (F.col("lo") == F.col("hi")) & ~F.col("wrong")
     grouped = entries.groupBy(unit).agg(
-        F.count(F.lit(1)).alias("n"), F.count_distinct(*keys).alias("cells"), F.min(state).alias("lo"),
+        *[F.count_if(c).alias(f"n{i}") for i, c in enumerate(here)], F.min(state).alias("lo"),
         F.max(state).alias("hi"), F.max(F.coalesce(wrong, F.lit(True))).alias("wrong"),
     )
     faulty = len(seeds) < 2 or len({frozenset(k) for k in seeds.values()}) > 1

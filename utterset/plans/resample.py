@@ -25,6 +25,7 @@ from utterset.session import slots
 BLOCK = 4096
 CHUNK = 250  # replicates that a task works on at once
 TREE_CHUNK = 500
+MOST_TASKS = 10_000
 # fixed values of the 32-bit mix
 STEP, FIRST, SECOND = 0x9E3779B9, 0x85EBCA6B, 0xC2B2AE35
 SPLIT_HIGH, SPLIT_LOW, DRAW_ONE, DRAW_TWO = 1, 2, 3, 4  # what a word is for
@@ -183,7 +184,8 @@ def per_replicate(
     ``replicate`` among them as places in the batch, any number of rows.
     """
     drawn = block_draws(units.sparkSession, n, replicates, seed, start)
-    cells = block_rows(units, columns).join(drawn, "block")
+    # a row is a block with all its draws: few bytes and much work, so rows are dealt out evenly
+    cells = block_rows(units, columns).join(drawn, "block").repartition(min(blocks_of(n), MOST_TASKS))
     names = [field.split()[0] for field in schema.split(",")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
