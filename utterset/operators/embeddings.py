@@ -11,8 +11,7 @@ from pyspark.sql import functions as F
 
 from utterset.functions import vectors
 from utterset.functions.hashing import draw_normal, order_key
-from utterset.plans.ordering import buckets_for, running_totals
-from utterset.session import sized
+from utterset.functions.normal import inverse_normal
 
 # Fixed values of the diagnostics.
 COLLAPSED_STD = 1.0e-3
@@ -331,56 +330,95 @@ def gaussian_moments(df: DataFrame, vector: str) -> DataFrame:
     )
 
 
-def normal_quantile(p: Column) -> Column:
-    """Inverse of the standard normal distribution (vectorised)."""
-    from statistics import NormalDist
+BINS = 1024  # of a slice's histogram
+RANKED = 1_000_000  # values that one task ranks at once
 
-    @F.pandas_udf("double")
-    def quantile(values: pd.Series) -> pd.Series:
-        inverse = NormalDist().inv_cdf
-        return values.map(inverse)
 
-    return quantile(p)
+def _bin_edges() -> np.ndarray:
+    """Bounds of the histogram: equally likely bins of the normal distribution."""
+    return inverse_normal(np.arange(1, BINS) / BINS)
 
 
-def gaussian_shape(df: DataFrame, vector: str, *, slices: int, seed: int = 0) -> DataFrame:
-    """(slice, shape): squared gap of sorted projections to normal quantiles.
+def gaussian_shape(df: DataFrame, vector: str, *, slices: int = 256, seed: int = 0) -> DataFrame:
+    """(slice, shape): mean squared gap of sorted projections to normal quantiles, one row per slice.
 
-    Ranks come from two-level running counts, so no slice is sorted in one task.
+    A first pass adds up one histogram per slice, which gives every bin its first
+    rank and joins neighbouring bins to stretches of at most about ``RANKED`` values.
+    A second pass sends values to their stretch as arrays of distinct values and
+    counts, so neither a value nor a tie is a row; a stretch ranks its values and
+    compares them with their quantiles.
     """
     spark = df.sparkSession
     dims = _width(df, vector)
-    n = df.count()
+    rows = df.select(vectors.as_double(F.col(vector)).alias("x"))
     matrix = _projection_matrix(spark, dims, slices, seed)
     stats = {
         r["dim"]: (r["mu"], r["sd"])
-        for r in df.select(F.posexplode(vectors.as_double(F.col(vector))).alias("dim", "x"))
+        for r in rows.select(F.posexplode("x").alias("dim", "x"))
         .groupBy("dim").agg(F.avg("x").alias("mu"), F.stddev_pop("x").alias("sd")).collect()
     }
     mu = np.array([stats[d][0] for d in range(dims)])
     sd = np.array([stats[d][1] for d in range(dims)]) + 1e-6
+    edges = _bin_edges()
 
-    def project(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def projected(batches: Iterator[pd.DataFrame]) -> Iterator[np.ndarray]:
         for pdf in batches:
             if len(pdf):
-                y = ((np.stack(pdf["x"].to_numpy()) - mu) / sd) @ matrix
-                yield pd.DataFrame(
-                    {"slice": np.tile(np.arange(slices), len(y)), "y": y.ravel()}
-                )
+                yield ((np.stack(pdf["x"].to_numpy()) - mu) / sd) @ matrix
+
+    def histogram(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts = np.zeros((slices, BINS), dtype=np.int64)
+        for y in projected(batches):
+            for s in range(slices):
+                counts[s] += np.bincount(np.searchsorted(edges, y[:, s], side="right"), minlength=BINS)
+        s, k = np.nonzero(counts)
+        yield pd.DataFrame({"slice": s, "bin": k, "c": counts[s, k]})
+
+    found = rows.mapInPandas(histogram, "slice int, bin int, c long").groupBy("slice", "bin").agg(F.sum("c").alias("c"))
+    # slices times BINS numbers
+    counts = np.zeros((slices, BINS), dtype=np.int64)
+    for r in found.collect():
+        counts[r["slice"], r["bin"]] = r["c"]
+    n = int(counts[0].sum())
+    before = np.cumsum(counts, axis=1) - counts
+    stretch_of = before // RANKED
+
+    def stretches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for y in projected(batches):
+            parts = []
+            for s in range(slices):
+                values, times = np.unique(y[:, s], return_counts=True)
+                own = stretch_of[s, np.searchsorted(edges, values, side="right")]
+                cuts = np.flatnonzero(np.diff(own)) + 1
+                for v, c, k in zip(np.split(values, cuts), np.split(times, cuts), np.split(own, cuts), strict=True):
+                    parts.append((s, int(k[0]), v, c))
+            yield pd.DataFrame(parts, columns=["slice", "stretch", "values", "times"])
+
+    def gaps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Whole stretches of a sorted partition, one at a time."""
+        key, held = None, []
+
+        def settle() -> pd.DataFrame:
+            values = np.concatenate([v for v, _ in held])
+            times = np.concatenate([c for _, c in held])
+            y = np.sort(np.repeat(values, times))
+            first = before[key[0]][stretch_of[key[0]] == key[1]].min()
+            target = inverse_normal((first + 1 + np.arange(len(y))) / (n + 1))
+            return pd.DataFrame({"slice": [key[0]], "gap": [float(((y - target) ** 2).sum())]})
 
-    projected = df.select(vectors.as_double(F.col(vector)).alias("x")).mapInPandas(
-        project, "slice int, y double"
-    )
-    counted = sized(projected.groupBy("slice", "y").agg(F.count(F.lit(1)).alias("c")))
-    ranked = running_totals(counted, ["slice"], "y", ["c"], buckets=buckets_for(n))
-    # equal values fill consecutive ranks
-    ranks = ranked.select(
-        "slice", "y", F.explode(F.sequence(F.col("cum_c") - F.col("c") + 1, F.col("cum_c"))).alias("rank")
-    )
-    target = normal_quantile(F.col("rank") / F.lit(float(n + 1)))
-    return ranks.withColumn("target", target).groupBy("slice").agg(
-        F.avg(F.pow(F.col("y") - F.col("target"), F.lit(2.0))).alias("shape")
-    )
+        for pdf in batches:
+            for row in pdf.itertuples(index=False):
+                if key != (row.slice, row.stretch):
+                    if held:
+                        yield settle()
+                    key, held = (row.slice, row.stretch), []
+                held.append((row.values, row.times))
+        if held:
+            yield settle()
+
+    sent = rows.mapInPandas(stretches, "slice int, stretch int, values array<double>, times array<long>")
+    laid = sent.repartition("slice", "stretch").sortWithinPartitions("slice", "stretch")
+    return laid.mapInPandas(gaps, "slice int, gap double").groupBy("slice").agg((F.sum("gap") / n).alias("shape"))
 
 
 # -- projection -------------------------------------------------------------

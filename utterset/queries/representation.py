@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from utterset.functions import vectors
+from utterset.functions.normal import sql_inverse_normal
 from utterset.operators import embeddings, probes, sampling, signals
 from utterset.plans.ordering import beside
 from utterset.queries.common import (
@@ -61,7 +62,7 @@ p AS (SELECT vec_id, k % 8 AS d, avg(v) AS m, stddev_pop(v) AS s FROM x GROUP BY
 SELECT vec_id, d::INTEGER AS dim, {sql_round('m')} AS value FROM p UNION ALL SELECT vec_id, (d + 8)::INTEGER, {sql_round('s')} FROM p
 """
 
-SLICES, POINTS = 16, 17
+SLICES, POINTS = 256, 17
 
 
 def sliced_normality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,10 +101,24 @@ SELECT {sql_round('avg(mu * mu)')} AS center_loss, {sql_round('avg((sd - 1) ** 2
 
 
 def gaussian_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = embeddings.gaussian_shape(table(spark, sf_dir, "embeddings"), "embedding", slices=8, seed=71)
+    out = embeddings.gaussian_shape(table(spark, sf_dir, "embeddings"), "embedding", slices=SLICES, seed=71)
     return rounded(out, "shape")
 
 
+SQL_SHAPE = f"""
+WITH h AS (SELECT s, d, {sql_hash(71, 'slice', 's', 'd')} AS h FROM range({SLICES}) a(s), range(64) b(d)),
+g AS (SELECT s, d, sqrt(-2 * ln({_sql_uniform('h', 1)})) * cos(6.283185307179586::DOUBLE * {_sql_uniform('h', 9)}) AS g FROM h),
+a AS (SELECT s, d, g / sqrt(sum(g * g) OVER (PARTITION BY s)) AS a FROM g),
+m AS (SELECT s, list(a ORDER BY d) AS a FROM a GROUP BY s),
+x AS (SELECT vec_id, unnest(range(64)) AS d, unnest(embedding::DOUBLE[]) AS x FROM embeddings),
+z AS (SELECT vec_id, d, (x - avg(x) OVER (PARTITION BY d)) / (stddev_pop(x) OVER (PARTITION BY d) + 1e-6) AS z FROM x),
+v AS (SELECT vec_id, list(z ORDER BY d) AS z FROM z GROUP BY vec_id),
+y AS (SELECT s, list_dot_product(z, a) AS y FROM v, m),
+r AS (SELECT s, y, row_number() OVER (PARTITION BY s ORDER BY y) / (count(*) OVER (PARTITION BY s) + 1.0::DOUBLE) AS p FROM y)
+SELECT s::INTEGER AS slice, {sql_round(f"avg((y - ({sql_inverse_normal('p')})) ** 2)")} AS shape FROM r GROUP BY s
+"""
+
+
 def view_contrast(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Global and local views around their centre, and clean against shifted copies."""
     rows = table(spark, sf_dir, "embeddings").select("vec_id", vectors.as_double(F.col("embedding")).alias("x"))
@@ -185,7 +200,7 @@ def fixed_window_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = signals.chunk(mono, item="vec_id", samples="x", n=10)
     whole = signals.reassemble(chunks, item="vec_id", samples="x").select("vec_id", F.size("x").alias("length"))
     flat = signals.flatten_frames(
-        mono.select("vec_id", embeddings.frames_of(F.col("x"), 8).alias("f")), item="vec_id", frames="f", max_frames=6
+        mono.select("vec_id", embeddings.frames_of(F.col("x"), 8).alias("f")), item="vec_id", frames="f", max_frames=8
     )
     packed = signals.unflatten_frames(flat, item="vec_id").select("vec_id", F.col("length").alias("frames"))
     sums = chunks.select("vec_id", "chunk", vectors.total(F.col("x")).alias("total"))
@@ -195,7 +210,7 @@ def fixed_window_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL_CHUNKS = f"""
 WITH x AS (SELECT vec_id, unnest(range(64)) AS i, unnest(embedding::DOUBLE[]) AS v FROM embeddings),
 m AS (SELECT a.vec_id, a.i, (a.v + b.v) / 2 AS v FROM x a JOIN x b ON a.vec_id = b.vec_id AND b.i = 63 - a.i)
-SELECT vec_id, (i // 10)::INTEGER AS chunk, {sql_round('sum(v)')} AS total, 70 AS length, 6::BIGINT AS frames FROM m GROUP BY vec_id, i // 10
+SELECT vec_id, (i // 10)::INTEGER AS chunk, {sql_round('sum(v)')} AS total, 70 AS length, 8::BIGINT AS frames FROM m GROUP BY vec_id, i // 10
 """
 
 
@@ -257,7 +272,7 @@ def linear_probe_oof(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = utterances(spark, sf_dir).select(
         "vec_id", F.col("speaker").cast("string").alias("speaker"), "embedding", F.pmod(F.crc32(F.col("vec_id").cast("string")), F.lit(5)).cast("int").alias("fold")
     )
-    return probes.linear_probe(rows, vector="embedding", label="speaker", max_iter=100).select(
+    return probes.linear_probe(rows, vector="embedding", label="speaker").select(
         "vec_id", "fold", F.col("speaker").alias("gold"), "prediction"
     )
 
@@ -267,7 +282,7 @@ def mlp_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
         utterances(spark, sf_dir).select("vec_id", F.col("speaker").cast("string").alias("speaker"), "embedding"), "vec_id", "speaker", 10, 83
     )
     out = probes.mlp_probe(
-        rows.where(F.col("role") == "train"), rows.where(F.col("role") == "test"), vector="embedding", label="speaker", hidden=32, max_iter=60
+        rows.where(F.col("role") == "train"), rows.where(F.col("role") == "test"), vector="embedding", label="speaker", hidden=256
     )
     return out.select("vec_id", F.col("speaker").alias("gold"), "prediction")
 
@@ -333,6 +348,7 @@ ORACLES = {
     "frame_pooling_meanstd": SQL_POOLING,
     "sliced_normality": SQL_NORMALITY,
     "gaussian_moments": SQL_MOMENTS,
+    "gaussian_shape": SQL_SHAPE,
     "view_contrast": SQL_VIEWS,
     "si_sdr_l1": SQL_SISDR,
     "fixed_window_chunks": SQL_CHUNKS,
