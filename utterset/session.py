@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -82,6 +83,15 @@ class Scratch:
                 at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
                 at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
 
+    def drop_others(self, *kept: DataFrame) -> None:
+        """Delete every table but these."""
+        self.drop(*[t for t, _ in list(self._paths.values()) if all(t is not k for k in kept)])
+
+    def free(self) -> None:
+        """Let Spark delete the shuffle files of finished jobs now, not at the driver's next garbage collection."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
 
 def sized(df: DataFrame) -> DataFrame:
     """Cache a derived lookup side so that the planner knows its true size.
