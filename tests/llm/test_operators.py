@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from utterset.llm import chat, jaccard, language, mixing, passages, pieces, quality, sharding, topk, urls
+from utterset.llm import chat, jaccard, language, mixing, passages, pieces, quality, sharding, sieve, topk, urls
 from utterset.llm.links import connected
 from utterset.llm.queries import model_path
 from utterset.llm.wordhash import mix
@@ -274,6 +274,47 @@ def test_sharding(spark, docs, rows, none):
     assert len(sizes) == 8 and max(sizes) <= 1.05 * sum(sizes) / 8
 
 
+
+def test_repeated_rows_are_sharded_evenly(spark):
+    data = [(None, "the same text again") if i % 3 == 0 else (i, f"text {i % 700}") for i in range(3000)]
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(6)
+    placed = sharding.shard(df, shards=16).persist()
+    sizes = [r["s"] for r in placed.groupBy("shard").agg(F.sum("size").alias("s")).collect()]
+    assert len(sizes) == 16 and max(sizes) <= 1.05 * sum(sizes) / 16 and sum(sizes) == sum(len(t) + 1 for _, t in data)
+    slots = placed.groupBy("shard").agg(F.count("*").alias("n"), F.count_distinct("slot").alias("k"), F.max("slot").alias("m")).collect()
+    assert all(r["n"] == r["k"] == r["m"] + 1 for r in slots)
+    # the many small groups of equal texts stay together, but for those on a boundary
+    split = placed.where("doc_id is not null").groupBy("text_crc32").agg(F.count_distinct("shard").alias("k"))
+    assert split.where("k > 1").count() <= 15
+    again = sharding.shard(df.repartition(3), shards=16)
+    known = placed.where("doc_id is not null").select("doc_id", "shard").exceptAll(again.where("doc_id is not null").select("doc_id", "shard"))
+    assert known.count() == 0
+    placed.unpersist()
+
+
+def test_one_odd_row_moves_no_other_keeper(spark):
+    rng = random.Random(21)
+    shared = [words(rng, 70) for _ in range(6)]
+    data = [(100 - i, words(rng, 20) + " " + shared[i % 6] + " " + words(rng, 15)) for i in range(24)]
+    plain = {tuple(r) for r in passages.find_repeats(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert plain
+    odd = [*data, data[3], (None, words(rng, 90)), (50, words(rng, 80))]
+    got = {tuple(r) for r in passages.find_repeats(spark.createDataFrame(odd, "doc_id long, text string")).collect()}
+    assert got == plain
+    null_last = passages.find_repeats(spark.createDataFrame([*data, (None, data[0][1])], "doc_id long, text string")).collect()
+    assert {tuple(r) for r in null_last if r["doc_id"] is not None} == plain
+    assert [r["of_doc_id"] for r in null_last if r["doc_id"] is None]
+
+
+def test_sieve_never_says_no_to_what_it_holds(spark):
+    values = spark.range(5000).select(F.xxhash64("id").alias("v"))
+    made = sieve.make_sieve(values, "v", bits=16)
+    held = np.array([r["v"] for r in values.collect()], dtype=np.int64).view(np.uint64)
+    assert sieve.lets_through(made, held).all()
+    other = np.array([r[0] for r in spark.range(10**6, 10**6 + 5000).select(F.xxhash64("id")).collect()], dtype=np.int64).view(np.uint64)
+    assert 0 < sieve.lets_through(made, other).mean() < 0.1
+    assert not sieve.lets_through(sieve.make_sieve(values.limit(0), "v", bits=16), held).any()
+
 def test_urls(spark):
     rules = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("a.com", "", "block"), ("com", "/x/y", "allow")]
     made = ["http://Example.ORG/es/1", "https://www.example.org/en/12?q", "http://b.org", "http://x.a.com#f", "http://a.com/x/yz", "no", None, "://", "a://b://c", "http://notexample.org/es/"]

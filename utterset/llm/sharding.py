@@ -1,7 +1,7 @@
 """Sharding by histogram sort: near-equal bytes, equal texts together.
 
 Rows are ordered by a 63-bit hash of the text and, inside one text, by a hash of
-the id.  For each of the wanted boundaries a probe interval of hash values is
+the id; rows equal in both are numbered, and the number goes into the hash.  For each of the wanted boundaries a probe interval of hash values is
 kept; every round counts, over all partitions, the exact bytes that fall between
 evenly spaced probes of the open intervals and keeps the one part that holds the
 boundary.  A boundary is settled as soon as some probe is within the tolerance,
@@ -38,7 +38,7 @@ class _Open:
     before: int
 
 
-def _hash63(*values: Column) -> Column:
+def _hash63(*values: Column | str) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*values), 1)
 
 
@@ -54,6 +54,32 @@ def keyed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     )
 
 
+def _spread_repeats(rows: DataFrame) -> DataFrame:
+    """Rows equal in both keys get a row key each, from their number among their like.
+
+    Numbers are places in a written part plus the counts of the parts before, so no
+    task numbers more than its part of a hot row; equal rows are interchangeable.
+    """
+    keys = ["group_key", "row_key"]
+    marked = rows.withColumn("place", F.monotonically_increasing_id())
+    fixed = cut_lineage(marked.withColumn("part", F.shiftright("place", 33)), "keys")
+    again = fixed.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(keys)
+    if again.isEmpty():
+        return fixed.drop("place", "part")
+    again = cut_lineage(again, "repeats")
+    hot = fixed.join(again, keys, "left_semi")
+    before = Window.partitionBy(*keys).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = hot.groupBy(*keys, "part").agg(F.count(F.lit(1)).alias("n"))
+    starts = counts.select(*keys, "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    inside = Window.partitionBy(*keys, "part").orderBy("place")
+    numbered = hot.withColumn("within", F.row_number().over(inside) - 1).join(starts, [*keys, "part"])
+    number = F.col("start") + F.col("within")
+    apart = numbered.withColumn(
+        "row_key", F.when(number == 0, F.col("row_key")).otherwise(_hash63(F.lit("again"), "row_key", number))
+    )
+    return fixed.join(again, keys, "left_anti").select(rows.columns).unionByName(apart.select(rows.columns))
+
+
 def _counted(rows: DataFrame, opened: list[_Open]) -> dict[tuple[int | None, int], dict[int, int]]:
     """Exact bytes of each part of each distinct open interval."""
     intervals = list(dict.fromkeys((o.group, o.low, o.bits) for o in opened))
@@ -115,10 +141,10 @@ def shard(
 
     ``shard`` follows the boundaries, ``slot`` counts the shard's rows from 0
     without gaps: rows are numbered inside short key ranges, which are laid end
-    to end by their counts.  Null and empty texts are one group; null ids have one
-    hash; equal rows get neighbouring slots; an empty table gives an empty table.
+    to end by their counts.  Null and empty texts are one group; equal rows, null ids
+    included, are numbered and may lie in any shards; an empty table gives an empty table.
     """
-    rows = cut_lineage(keyed(docs, doc_id, text), "keys")
+    rows = cut_lineage(_spread_repeats(keyed(docs, doc_id, text)), "spread-keys")
     cuts = splitters(rows, shards, tolerance)
     number = F.lit(0)
     for group, row in cuts:

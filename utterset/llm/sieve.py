@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BITS = 26  # 8 MiB on the driver and in every worker
+BITS = 24  # 2 MiB on the driver and in every worker
 SECOND = 31  # the second bit comes from this place of the value
 
 
