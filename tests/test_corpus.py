@@ -1,6 +1,7 @@
 """Sources, sinks, cleaning, joins, splits and their planted errors."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 from utterset import violations as v
 from utterset.functions import paths, vectors
 from utterset.functions.hashing import order_key
-from utterset.operators import clean, joins, sampling, shards
+from utterset.operators import asr, clean, joins, sampling, shards
 from utterset.plans.ordering import hash_cut, running_totals, with_position
 from utterset.queries.corpus import document_manifest
 from utterset.sinks import writers
@@ -298,6 +299,36 @@ def test_next_fit_respects_the_target(spark):
         shards.assign_shards(df.withColumn("size", F.col("size") * 100000), key="id", size="size", target=30000, seed=1, digits=1)
 
 
+def test_packing_in_small_batches_equals_row_by_row(spark):
+    rng = random.Random(2)
+    data = [(i, rng.choice([10, 300, 900, 4000, 25000, 29990])) for i in range(700)]
+    df = spark.createDataFrame(data, "id long, size long")
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "13")
+        out = shards.assign_shards(df, key="id", size="size", target=30000, seed=4, digits=1)
+        got = out.withColumn("h", order_key(4, "shard", "id")).orderBy("h", "id").collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    bucket, number, used = None, 0, 0
+    for r in got:
+        if r["h"][0] != bucket:
+            bucket, number, used = r["h"][0], 0, 0
+        elif used + r["size"] + shards.FINAL_RECORD > 30000:
+            number, used = number + 1, 0
+        used += r["size"]
+        assert r["shard"] == f"shard-{bucket}-{number:06d}"
+
+
+def test_codes_come_from_the_alphabet_alone(spark):
+    known = asr.build_charset(spark.createDataFrame([("Bañ",), ("𝒳a",)], "text string"))
+    df = spark.createDataFrame([("aB!ñ𝒳",), ("",), (None,), ("zz\n",)], "text string")
+    code = {r["symbol"]: r["code"] for r in known.collect()}
+    got = [r["codes"] for r in asr.encode_text(df, known).collect()]
+    assert got == [[code["a"], code["b"], code["ñ"], code["𝒳"]], [], None, []]
+    assert asr.encode_text(df, known.limit(0)).first()["codes"] in ([], None)
+
+
 def test_descriptor_rules(spark):
     index = spark.createDataFrame([("a", "s1", 1.0, 10), ("b", "s1", 2.0, 20), ("c", "s2", 3.0, 30)],
                                   "sample_id string, shard string, duration_seconds double, encoded_byte_size long")

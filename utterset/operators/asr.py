@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from utterset.functions import text as tx
-from utterset.session import spread
 
 # Fixed value: reserved first symbol of every charset.
 BLANK = "<blank>"
@@ -16,7 +15,7 @@ BLANK = "<blank>"
 
 def asr_counts(df: DataFrame, reference: str = "reference", hypothesis: str = "hypothesis") -> DataFrame:
     """Add word/character errors and reference units of each utterance."""
-    counted = spread(df).withColumn("_e", tx.edit_counts(F.col(reference), F.col(hypothesis)))
+    counted = df.withColumn("_e", tx.edit_counts(F.col(reference), F.col(hypothesis)))
     return counted.select("*", *[F.col("_e")[c].alias(c) for c in tx.COUNT_FIELDS]).drop("_e")
 
 
@@ -54,16 +53,28 @@ def build_charset(df: DataFrame, text: str = "text") -> DataFrame:
     return blank.unionByName(numbered)
 
 
-def charset_symbols(charset: DataFrame) -> list[str]:
-    """Symbols in code order (an alphabet)."""
-    return [r["symbol"] for r in charset.orderBy("code").collect()]
+def code_table(charset: DataFrame) -> DataFrame:
+    """One row, one array: the code of each character at the place of its code point, null where there is none.
 
+    At most the number of Unicode characters, whatever the rows.
+    """
+    known = charset.where(F.col("code") > 0).select(F.ascii("symbol").cast("long").alias("point"), "code")
+    top = known.agg(F.max("point")).first()[0]
+    every = charset.sparkSession.range(0, (top if top is not None else -1) + 1).withColumnRenamed("id", "point")
+    placed = every.join(known, "point", "left").agg(F.sort_array(F.collect_list(F.struct("point", "code"))).alias("c"))
+    return placed.select(F.col("c.code").alias("codes"))
+
+
+def encode_text(df: DataFrame, charset: DataFrame, text: str = "text", name: str = "codes") -> DataFrame:
+    """Adds the codes of the known characters of the lower-cased text; others are dropped.
 
-def encode_text(text: Column, symbols: Sequence[str]) -> Column:
-    """Codes of the known characters of the lower-cased text; others are dropped."""
-    known = F.array(*[F.lit(s) for s in symbols])
-    codes = F.transform(F.split(F.lower(text), ""), lambda c: F.array_position(known, c) - 1)
-    return F.filter(codes, lambda i: i > 0)
+    A character finds its code at its code point, without a search.
+    """
+    codes = code_table(charset).select("codes").scalar()
+    found = lambda table: F.filter(
+        F.transform(F.split(F.lower(text), ""), lambda c: F.get(table, F.ascii(c))), lambda i: i > 0
+    )
+    return df.withColumn("_codes", codes).withColumn(name, found(F.col("_codes"))).drop("_codes")
 
 
 def min_frames(codes: Column) -> Column:

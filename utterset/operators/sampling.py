@@ -69,7 +69,7 @@ def group_folds(df: DataFrame, group: str, k: int, seed: int) -> DataFrame:
     """(group, fold): groups in seeded order cut into min(k, groups) runs."""
     groups = sized(df.select(group).distinct().withColumn("_h", order_key(seed, "fold", group)))
     n = groups.count()
-    placed = with_position(groups, "_h", [group], rows=n)
+    placed = with_position(groups, "_h", [group])
     splits = min(k, n)
     if splits < 2:
         raise ValueError("group folds need at least two groups")

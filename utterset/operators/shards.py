@@ -5,6 +5,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -52,14 +53,25 @@ def assign_shards(
     )
 
     def starts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, used = None, 0
+        current, used, room = None, 0, target - FINAL_RECORD
         for pdf in batches:
-            opened = []
-            for row, (name, need) in enumerate(zip(pdf["bucket"], pdf["size"])):
-                if name != current or used + need + FINAL_RECORD > target:
-                    current, used = name, 0
-                    opened.append(row)
-                used += need
+            if not len(pdf):
+                continue
+            names, opened = pdf["bucket"].to_numpy(), []
+            edges = np.concatenate([[0], np.flatnonzero(names[1:] != names[:-1]) + 1, [len(pdf)]])
+            for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist()):
+                total = np.cumsum(pdf["size"].to_numpy()[lo:hi], dtype=np.int64)
+                taken, free = -used, 0  # what lay before the open shard, the first row not in it yet
+                if names[lo] != current:
+                    current, taken, free = names[lo], 0, 1
+                    opened.append(lo)
+                while True:  # one step per shard: the first row beyond its room opens the next
+                    full = max(free, int(np.searchsorted(total, taken + room, side="right")))
+                    if full >= hi - lo:
+                        break
+                    opened.append(lo + full)
+                    taken, free = int(total[full - 1]) if full else 0, full + 1
+                used = int(total[-1]) - taken
             yield pdf.iloc[opened][["bucket", "_h", "key"]]
 
     key_type = df.schema[key].dataType.simpleString()

@@ -25,7 +25,7 @@ ROWS_PER_BUCKET = 250_000
 
 def buckets_for(largest: int) -> int:
     """Buckets that keep a group of ``largest`` rows within a task's share."""
-    return 1 if largest <= 2 * ROWS_PER_BUCKET else min(128, -(-largest // ROWS_PER_BUCKET))
+    return max(1, -(-largest // ROWS_PER_BUCKET))
 
 
 def with_position(
@@ -36,17 +36,9 @@ def with_position(
     group: Sequence[str] = (),
     name: str = "pos",
     digits: int = 3,
-    rows: int | None = None,
 ) -> DataFrame:
-    """Add the 0-based rank in (hash, ties) order, per ``group`` or global.
-
-    ``rows`` is the counted size of ``df``, if known: a table that fits one
-    task's share is ranked by a plain window.
-    """
+    """Add the 0-based rank in (hash, ties) order, per ``group`` or global."""
     group = list(group)
-    if rows is not None and buckets_for(rows) == 1:
-        plain = Window.partitionBy(*group).orderBy(hash_col, *ties)
-        return df.withColumn(name, (F.row_number().over(plain) - 1).cast("long"))
     marked = df.withColumn("_b", _bucket(hash_col, digits))
     counts = marked.groupBy(*group, "_b").agg(F.count(F.lit(1)).alias("_c"))
     # at most 16**digits rows per group reach this window
@@ -145,16 +137,15 @@ def split_by_cut(
 def range_bucket(df: DataFrame, order_col: str, buckets: int = 32, name: str = "_b") -> DataFrame:
     """Add a bucket number that grows with ``order_col``, about equally filled.
 
-    The bounds (at most ``buckets`` numbers) come from one approximate-quantile
+    The bounds (fewer than ``buckets`` numbers) come from one approximate-quantile
     aggregate; they decide only how work is spread, never the result.
     """
     steps = [i / buckets for i in range(1, buckets)]
-    found = df.agg(F.percentile_approx(order_col, steps, 2000).alias("bounds")).first()
+    found = df.agg(F.percentile_approx(order_col, steps, max(2000, 4 * buckets)).alias("bounds")).first()
     bounds = sorted(set(found["bounds"] or []))
-    bucket = F.lit(0)
-    for bound in bounds:
-        bucket = bucket + (F.col(order_col) > F.lit(bound)).cast("int")
-    return df.withColumn(name, bucket)
+    # the number of bounds below the value
+    below = F.filter(F.lit(bounds), lambda b: b < F.col(order_col)) if bounds else F.array()
+    return df.withColumn(name, F.size(below))
 
 
 def running_totals(

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from utterset.queries import corpus, logs, packing, representation, statistics
+from utterset.queries import corpus, listings, logs, packing, representation, statistics
 
-MODULES = (corpus, packing, statistics, representation, logs)
+MODULES = (corpus, packing, statistics, representation, logs, listings)
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

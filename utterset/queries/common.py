@@ -12,6 +12,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """Rows of a small fixture table over all slots, for costly work per row.
+
+    The tables here are single files; tables of many files need no such exchange.
+    """
+    return df.repartition(2 * df.sparkSession.sparkContext.defaultParallelism)
+
+
 def speaker_of(embedding: str = "embedding") -> Column:
     """Fixture speaker of a vector: argmax of its first ten coordinates."""
     return vectors.argmax(F.slice(embedding, 1, 10))

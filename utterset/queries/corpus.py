@@ -346,14 +346,16 @@ def target_feasibility(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(
         "lang", "text", F.floor(F.col("n_chars") * 1.05).cast("long").alias("frames")
     )
-    symbols = asr.charset_symbols(asr.build_charset(docs))
-    encoded = docs.withColumn("codes", asr.encode_text(F.col("text"), symbols))
+    # the alphabet of the English texts alone: what it lacks is dropped
+    encoded = asr.encode_text(docs, asr.build_charset(docs.where(F.col("lang") == "en")))
     return rounded(asr.ctc_feasibility(encoded, "codes", "frames", 1, ["lang"]), "percent_infeasible")
 
 
 SQL_FEASIBILITY = f"""
 WITH c AS (SELECT lang, floor(n_chars * 1.05)::BIGINT AS frames,
-                  list_filter(string_split(lower(text), ''), lambda x: x <> chr(10) AND x <> '') AS s FROM documents),
+                  list_filter(string_split(lower(text), ''), lambda x: list_contains(k, x)) AS s
+           FROM documents, (SELECT list(DISTINCT s) AS k FROM (
+             SELECT unnest(string_split(lower(text), '')) AS s FROM documents WHERE lang = 'en') WHERE s <> '' AND s <> chr(10))),
 m AS (SELECT lang, frames, len(s) + len(list_filter(range(2, len(s) + 1), lambda i: s[i] = s[i - 1])) AS need FROM c)
 SELECT lang, count(*) AS targets, count(*) FILTER (need > frames) AS infeasible,
        {sql_round('100.0 * count(*) FILTER (need > frames) / count(*)')} AS percent_infeasible FROM m GROUP BY lang

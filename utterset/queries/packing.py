@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from utterset.functions import vectors
 from utterset.operators import clean, sampling, shards
 from utterset.plans.ordering import beside
-from utterset.queries.common import SQL_UTTERANCES, rounded, sql_hash, sql_round, table, utterances
-from utterset.session import cut_lineage, scratch_path, spread
+from utterset.queries.common import SQL_UTTERANCES, dealt, rounded, sql_hash, sql_round, table, utterances
+from utterset.session import cut_lineage, scratch_path
 from utterset.sinks import writers
 from utterset.sources import results
 from utterset.streaming import ledger
@@ -237,7 +237,7 @@ def amplitude_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
         .withColumn("storage_peak", F.col("canonical_peak") / F.col("gain") * F.when(line == 7, 1.01).otherwise(1.0))
         .withColumn("amplitude_restore_gain", F.when(line == 6, F.lit(None)).when(line == 5, F.col("gain") * 0.5).otherwise(F.col("gain")))
     )
-    found = clean.validate_amplitude(spread(rows))
+    found = clean.validate_amplitude(dealt(rows))
     return found.groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -11,13 +11,14 @@ from utterset.operators import embeddings, probes, sampling, signals
 from utterset.plans.ordering import beside
 from utterset.queries.common import (
     SQL_UTTERANCES,
+    dealt,
     rounded,
     sql_hash,
     sql_round,
     table,
     utterances,
 )
-from utterset.session import scratch_path, spread
+from utterset.session import scratch_path
 from utterset.streaming import features
 
 
@@ -178,7 +179,7 @@ def si_sdr_l1(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = rows.withColumn("n", n).withColumn(
         "ref", F.transform(F.slice("x", F.lit(1), F.col("n").cast("int")), lambda v: F.when(F.col("label") == 9, F.lit(0.0)).otherwise(v))
     ).withColumn("est", F.transform(F.slice("x", F.lit(1), F.col("n").cast("int")), lambda v, i: v * 0.9 + 0.05 * F.pmod(i, F.lit(2))))
-    scored = signals.si_sdr(spread(cut), reference="ref", estimate="est")
+    scored = signals.si_sdr(dealt(cut), reference="ref", estimate="est")
     out = scored.select("vec_id", "n", "wav_l1", "si_sdr_db", F.col("si_sdr_error").isNotNull().alias("failed"))
     return rounded(out, "wav_l1", "si_sdr_db")
 
@@ -219,7 +220,7 @@ def mrstft_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select(
         "vec_id", F.flatten(F.array_repeat(vectors.as_double(F.col("embedding")), 64)).alias("x")
     ).withColumn("y", F.transform("x", lambda v: v * 0.8 + 0.01))
-    out = signals.mrstft(spread(rows), reference="x", estimate="y").select(
+    out = signals.mrstft(dealt(rows), reference="x", estimate="y").select(
         "vec_id", "stft_sc", "stft_mag", "stft_log", "stft_loss"
     )
     return rounded(out, "stft_sc", "stft_mag", "stft_log", "stft_loss")
@@ -247,7 +248,7 @@ def augmented_views(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Energy of every augmented view and the share of its masked frames."""
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     views = signals.augment_views(
-        spread(rows), AUGMENT, key="vec_id", samples="embedding", sample_rate=16000, global_views=2, local_views=2, seed=73
+        dealt(rows), AUGMENT, key="vec_id", samples="embedding", sample_rate=16000, global_views=2, local_views=2, seed=73
     )
     masked = signals.span_masks(
         views.withColumn("frames", F.lit(16)).withColumn("mkey", F.concat_ws(":", "vec_id", "view")),

@@ -12,6 +12,7 @@ from utterset.operators import asr, bootstrap, classify, embeddings, reports, sa
 from utterset.plans.resample import sql_draws
 from utterset.queries.common import (
     SQL_UTTERANCES,
+    dealt,
     rounded,
     sql_hash,
     sql_index,
@@ -31,7 +32,7 @@ SUMMARY_VALUES = ("estimate", "seed_sample_sd", "ci_low", "ci_high")
 
 def transcript_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two systems and two seeds: every k-th word of each turn is lost."""
-    turns = table(spark, sf_dir, "conversations").select(
+    turns = dealt(table(spark, sf_dir, "conversations")).select(
         F.concat_ws(":", "conv_id", "turn").alias("unit_id"), tx.words(F.col("text")).alias("w")
     )
     variants = F.explode(

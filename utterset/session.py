@@ -115,13 +115,3 @@ def broadcast_if_small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
 def slots(spark: SparkSession, rows: int, rows_per_task: int = 1_000_000) -> int:
     """Number of input partitions for ``rows`` generated rows."""
     return int(max(spark.sparkContext.defaultParallelism, -(-rows // rows_per_task)))
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Use all slots for costly per-row work on a table of few files.
-
-    Tables with at least one file per slot are left as they are, so a large
-    input is not shuffled for this.
-    """
-    wanted = df.sparkSession.sparkContext.defaultParallelism
-    return df if len(df.inputFiles()) >= wanted else df.repartition(2 * wanted)

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from utterset import violations as v
+from utterset.functions.hashing import order_key
 from utterset.operators.reports import fingerprint
-from utterset.operators.sampling import with_permutation
 from utterset.schemas import INDEX_SCHEMA
 from utterset.sinks.published import publish
 
@@ -40,9 +40,9 @@ def build_meta(df: DataFrame, *, val_pct: float, seed: int, dataset: str = "data
 
 
 def write_shards(df: DataFrame, path: str, *, key: str, seed: int) -> None:
-    """Rows of a shard together in ``shard=<name>`` folders, in seeded order."""
-    ordered = with_permutation(df, key, seed).repartition("shard").sortWithinPartitions("shard", "pos")
-    ordered.drop("pos").write.mode("overwrite").partitionBy("shard").parquet(path)
+    """Rows of a shard together in ``shard=<name>`` folders, in seeded order; payload is exchanged once."""
+    ordered = df.withColumn("_h", order_key(seed, "permute", key)).repartition("shard").sortWithinPartitions("shard", "_h", key)
+    ordered.drop("_h").write.mode("overwrite").partitionBy("shard").parquet(path)
 
 
 def index_of(df: DataFrame) -> DataFrame:
@@ -69,7 +69,8 @@ def write_predictions(df: DataFrame, path: str, identity: Sequence[str]) -> Data
 def write_metadata_tsv(df: DataFrame, path: str, name: str = "file_name") -> None:
     """Header TSV with unique file names."""
     v.assert_empty(v.duplicates(df, name, "duplicate_file_name"))
-    df.write.mode("overwrite").option("header", True).option("sep", "\t").option("quote", "").csv(path)
+    df.write.mode("overwrite").option("header", True).option("sep", "\t").option("quote", "").option(
+        "emptyValue", "").csv(path)
 
 
 def write_statistics(df: DataFrame, path: str, *, seed: int, replicates: int, confidence: float) -> None:

@@ -79,19 +79,11 @@ def read_parquet_audio(
     Every file is read once even if several patterns match it.  The bytes stay
     in the table; nothing is unpacked to disk.
     """
-    seen = None
-    for pattern in globs:
-        one = (
-            spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
-            .option("mergeSchema", True).parquet(root)
-        )
-        part = one.select("*", F.col("_metadata.file_path").alias("_file"))
-        if seen is not None:
-            taken = seen.select("_file").distinct()
-            part = part.join(taken, "_file", "left_anti")
-            seen = seen.unionByName(part, allowMissingColumns=True)
-        else:
-            seen = part
+    # one listing and one read: a file that several patterns match is one file
+    either = globs[0] if len(globs) == 1 else "{" + ",".join(globs) + "}"
+    seen = (
+        spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", either).option("mergeSchema", True).parquet(root)
+    )
     return parquet_records(seen, dataset=dataset, language=language)
 
 
