@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from utterset import violations as v
+from utterset.functions.hashing import permuted_rank
 from utterset.operators import asr, bootstrap, classify, embeddings, reports, trialboot, verify
 from utterset.plans import resample
 
@@ -248,6 +249,17 @@ def test_drawn_trials_are_distinct_pairs_of_the_right_kind(spark):
     assert everything.count() == 200 * 199 // 2
 
 
+@pytest.mark.parametrize("space", [1, 2, 7, 64, 101, 1000])
+def test_permuted_ranks_are_a_permutation(spark, space):
+    got = [r[0] for r in spark.range(space).select(permuted_rank(F.col("id"), space, 5, "p")).collect()]
+    assert sorted(got) == list(range(space))
+    if space > 100:
+        other = [r[0] for r in spark.range(space).select(permuted_rank(F.col("id"), space, 6, "p")).collect()]
+        assert sum(a == b for a, b in zip(got, other)) < space / 10 and abs(np.corrcoef(got, range(space))[0, 1]) < 0.25
+    with pytest.raises(ValueError, match="distinct ranks"):
+        verify._draw_ranks(spark, space, space + 1, 5, "p")
+
+
 def test_class_quotas():
     assert verify.class_quotas(1000, 1000, 100) == (50, 50)
     assert verify.class_quotas(10, 1000, 100) == (10, 90)

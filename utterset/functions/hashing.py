@@ -29,17 +29,43 @@ def _sixty_bits(key: Column, start: int) -> Column:
     return F.conv(F.substring(key, start, 15), 16, 10).cast("long")
 
 
-def draw_wide_index(key: Column, n: Column | int) -> Column:
-    """As ``draw_index`` from 60 bits, for ranges beyond 32 bits."""
-    size = F.lit(n) if isinstance(n, int) else n
-    return F.pmod(_sixty_bits(key, 1), size.cast("long"))
-
-
 def key_words(key: Column) -> tuple[Column, Column]:
     """The two 60-bit words of an order key."""
     return _sixty_bits(key, 1), _sixty_bits(key, 16)
 
 
+ROUNDS, WALKS = 4, 24
+
+
+def permuted_rank(x: Column, space: int, seed: int, salt: str) -> Column:
+    """Image of ``x`` under a seeded permutation of ``[0, space)``.
+
+    A Feistel network over pairs (a, b) of a rectangle that holds the ranks: each
+    round adds to one side a hash of the other, modulo its length.  An image outside
+    the ranks is permuted again; the rectangle has less than one more row than
+    needed, so that happens to one in about sqrt(space).
+    """
+    rows = int(space**0.5) + 1
+    width = -(-space // rows)
+
+    def step(acc: Column, i: Column) -> Column:
+        turn = F.pmod(i, F.lit(ROUNDS))
+        even = F.pmod(turn, F.lit(2)) == 0
+        other = F.when(even, acc["b"]).otherwise(acc["a"])
+        word = draw_index(order_key(seed, salt, turn, other), 1 << 30)
+        a = F.when(even, F.pmod(acc["a"] + word, F.lit(rows))).otherwise(acc["a"])
+        b = F.when(even, acc["b"]).otherwise(F.pmod(acc["b"] + word, F.lit(width)))
+        moved = F.struct(a.alias("a"), b.alias("b"), ((turn == ROUNDS - 1) & (a * width + b < space)).alias("done"))
+        return F.when(acc["done"], acc).otherwise(moved)
+
+    start = F.struct(
+        F.floor(x / F.lit(width)).cast("long").alias("a"), F.pmod(x, F.lit(width)).cast("long").alias("b"), F.lit(False).alias("done")
+    )
+    last = F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS * WALKS - 1)), start, step)
+    out = F.transform(F.array(last), lambda y: F.when(y["done"], y["a"] * width + y["b"]).otherwise(F.raise_error(F.lit("no image")).cast("long")))
+    return out[0]
+
+
 def draw_uniform(key: Column, offset: int = 1) -> Column:
     """Uniform double strictly inside (0, 1) from eight digits of an order key."""
     digits = F.conv(F.substring(key, offset, 8), 16, 10).cast("double")

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from utterset.functions import vectors
-from utterset.functions.hashing import draw_wide_index, order_key
+from utterset.functions.hashing import order_key, permuted_rank
 from utterset.operators.sampling import with_shared_group_order
 from utterset.plans.ordering import beside, buckets_for, interval_lookup, running_totals
 from utterset.session import sized, slots
@@ -318,17 +318,15 @@ def class_quotas(n_target: int, n_nontarget: int, max_trials: int) -> tuple[int,
 
 
 def _draw_ranks(spark, space: int, k: int, seed: int, salt: str) -> DataFrame:
-    """``k`` distinct ranks of ``[0, space)``, uniform without replacement."""
-    if 2 * k >= space:
-        ranks = spark.range(0, space, 1, slots(spark, space)).select(
-            F.col("id").alias("rank"), order_key(seed, salt, "id").alias("_h")
-        )
-        return ranks.orderBy("_h", "rank").limit(k).select("rank")
-    tries = 2 * k + 1000
-    draws = spark.range(0, tries, 1, slots(spark, tries)).select(
-        draw_wide_index(order_key(seed, salt, "id"), space).alias("rank"), F.col("id").alias("j")
-    )
-    return draws.groupBy("rank").agg(F.min("j").alias("j")).orderBy("j").limit(k).select("rank")
+    """``k`` distinct ranks of ``[0, space)``, uniform without replacement.
+
+    The images of 0 .. k - 1 under a seeded permutation of all ranks: distinct as they
+    are, made one by one in any task, by one rule whatever the share of the ranks.
+    """
+    if not 0 <= k <= space:
+        raise ValueError(f"{k} distinct ranks cannot be drawn of {space}")
+    numbered = spark.range(0, k, 1, slots(spark, k))
+    return numbered.select(permuted_rank(F.col("id"), max(1, space), seed, salt).alias("rank"))
 
 
 def sample_trials(

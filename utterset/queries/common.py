@@ -47,10 +47,6 @@ def sql_index(key: str, n: str) -> str:
     return f"((('0x' || substr({key}, 1, 8))::UBIGINT)::BIGINT % ({n}))"
 
 
-def sql_wide_index(key: str, n: str) -> str:
-    return f"((('0x' || substr({key}, 1, 15))::UBIGINT)::BIGINT % ({n}))"
-
-
 SQL_UTTERANCES = """
 utterances AS (
   SELECT vec_id, label, embedding::DOUBLE[] AS embedding,

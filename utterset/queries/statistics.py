@@ -17,7 +17,6 @@ from utterset.queries.common import (
     sql_hash,
     sql_index,
     sql_round,
-    sql_wide_index,
     table,
     utterances,
 )
@@ -362,6 +361,25 @@ def capped_trials(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _sql_ranks(name: str, space: str, k: str, seed: int, salt: str, walks: int = 6) -> str:
+    """CTE ``<name>_rank`` (rank): images of 0 .. k - 1 under the seeded permutation of [0, space)."""
+    ctes = [
+        f"""{name}_p0 AS (SELECT s, r, w, x // w AS a, x % w AS b, false AS done FROM (
+  SELECT s, r, (s + r - 1) // r AS w, unnest(range(k)) AS x FROM (SELECT {space} AS s, floor(sqrt({space}::DOUBLE))::BIGINT + 1 AS r, {k} AS k FROM quota)))"""
+    ]
+    for i in range(4 * walks):
+        turn = i % 4
+        side, other, length = ("a", "b", "r") if turn % 2 == 0 else ("b", "a", "w")
+        word = sql_index(sql_hash(seed, salt, str(turn), other), "1073741824")
+        a, b = (f"({side} + {word}) % {length}", "b") if side == "a" else ("a", f"({side} + {word}) % {length}")
+        done = f"{a} * w + {b} < s" if turn == 3 else "false"
+        ctes.append(
+            f"""{name}_p{i + 1} AS (SELECT s, r, w, CASE WHEN done THEN a ELSE {a} END AS a, CASE WHEN done THEN b ELSE {b} END AS b,
+  done OR ({done}) AS done FROM {name}_p{i})"""
+        )
+    return ",\n".join(ctes) + f",\n{name}_rank AS (SELECT a * w + b AS rank FROM {name}_p{4 * walks} WHERE done)"
+
+
 SQL_CAPPED = f"""
 {SQL_UTTERANCES},
 placed AS (SELECT vec_id, speaker, embedding, row_number() OVER (PARTITION BY speaker ORDER BY {sql_hash(17, 'trial', 'vec_id')}, vec_id) - 1 AS q FROM utterances),
@@ -376,10 +394,8 @@ ordered AS (SELECT vec_id, speaker, start, q + start AS pos, t_low + q * (q - 1)
                    n_low + q * start AS n_row, start AS n_len FROM placed JOIN spk2 USING (speaker)),
 space AS (SELECT sum(t_len)::BIGINT AS nt, sum(n_len)::BIGINT AS nn FROM ordered),
 quota AS (SELECT nt, nn, least(nt, {MAX_TRIALS // 2}) AS kt, least(nn, {MAX_TRIALS} - least(nt, {MAX_TRIALS // 2})) AS kn FROM space),
-t_draw AS (SELECT {sql_wide_index(sql_hash(17, 'target', 'j'), 'nt')} AS rank, j FROM (SELECT nt, unnest(range(2 * kt + 1000)) AS j FROM quota)),
-t_rank AS (SELECT rank FROM (SELECT rank, min(j) AS j FROM t_draw GROUP BY rank) ORDER BY j LIMIT (SELECT kt FROM quota)),
-n_draw AS (SELECT {sql_wide_index(sql_hash(17, 'nontarget', 'j'), 'nn')} AS rank, j FROM (SELECT nn, unnest(range(2 * kn + 1000)) AS j FROM quota)),
-n_rank AS (SELECT rank FROM (SELECT rank, min(j) AS j FROM n_draw GROUP BY rank) ORDER BY j LIMIT (SELECT kn FROM quota)),
+{_sql_ranks('t', 'nt', 'kt', 17, 'target')},
+{_sql_ranks('n', 'nn', 'kn', 17, 'nontarget')},
 trials AS (
   SELECT a.vec_id AS "left", b.vec_id AS "right", a.speaker AS spk_a, b.speaker AS spk_b, 1 AS label
   FROM t_rank JOIN ordered a ON rank >= a.t_row AND rank < a.t_row + a.t_len
