@@ -104,14 +104,6 @@ def sized(df: DataFrame) -> DataFrame:
     return cached
 
 
-BROADCAST_LIMIT = 64 * 1024 * 1024
-
-
-def broadcast_if_small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
-    """Broadcast a side of counted size below the limit; else leave it to a shuffle."""
-    return F.broadcast(df) if rows * row_bytes <= BROADCAST_LIMIT else df
-
-
 def slots(spark: SparkSession, rows: int, rows_per_task: int = 1_000_000) -> int:
     """Number of input partitions for ``rows`` generated rows."""
     return int(max(spark.sparkContext.defaultParallelism, -(-rows // rows_per_task)))
