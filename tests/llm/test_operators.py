@@ -3,11 +3,13 @@
 import hashlib
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from utterset.llm import chat, jaccard, language, mixing, passages, pieces, quality, sharding, sieve, topk, urls
@@ -367,14 +369,104 @@ def test_language(spark, docs, rows, none):
     made += [(900, None, "en"), (901, "123 !!", "en"), (902, "", None), (None, "der die straßen", None)]
     table = spark.createDataFrame(made, "doc_id long, text string, lang string")
     got = {r.doc_id: r for r in language.split_and_identify(table).collect()}
-    import zlib
-
     for i, text, lang in made:
-        assert got[i].held_out == (i is not None and zlib.crc32(str(i).encode()) % 4 == 2)
+        assert got[i].held_out == is_held_out(i)
         assert got[i].lang_pred == ("und" if i in (900, 901, 902) else lang or "de") and 0 <= got[i].score <= 1
     assert language.split_and_identify(docs).count() == len(rows) and language.split_and_identify(none).count() == 0
 
 
+def plain_languages(made, settings):
+    """Language and score of each text, word by word in plain Python; every learned word and n-gram counts."""
+    letters = language.LETTERS
+    words, grams, totals = {}, {}, Counter()
+    for i, text, lang in made:
+        if lang is None or text is None or is_held_out(i):
+            continue
+        for word in letters.findall(text.lower()):
+            words.setdefault(word, Counter())[lang] += 1
+            totals[lang, 0] += 1
+            padded = f"<{word}>"
+            for n in range(1, settings.longest + 1):
+                for k in range(len(padded) - n + 1):
+                    grams.setdefault(padded[k : k + n], Counter())[lang] += 1
+                    totals[lang, n] += 1
+    langs = sorted({lang for lang, _ in totals})
+    size, alpha = len(words) + len(grams), settings.smoothing
+
+    def share(by_lang, n, lang):
+        return np.log((by_lang[lang] + alpha) / (totals[lang, n] + alpha * size))
+
+    def score(word, lang):
+        if word in words:
+            return share(words[word], 0, lang)
+        padded, total = f"<{word}>", 0.0
+        for end in range(2, len(padded) + 1):
+            for n in range(min(settings.longest, end), 0, -1):
+                gram = padded[end - n : end]
+                if gram in grams:
+                    total += share(grams[gram], n, lang) + (settings.longest - n) * np.log(settings.penalty)
+                    break
+        return total / len(word)
+
+    out = []
+    for _, text, _ in made:
+        found = letters.findall((text or "").lower())
+        if not found:
+            out.append(("und", 0.0))
+            continue
+        sums = np.array([sum(score(word, lang) for word in found) for lang in langs])
+        out.append((langs[int(np.argmax(sums))], 1 / np.exp(sums - sums.max()).sum()))
+    return out
+
+
+def is_held_out(doc_id):
+    return doc_id is not None and zlib.crc32(str(doc_id).encode()) % 4 == 2
+
+
+@pytest.mark.parametrize("head", [0, 7, 100_000])
+def test_language_keeps_every_word(spark, head):
+    rng = random.Random(3)
+    stems = {"en": "aeiou", "de": "äöüei", "fr": "éèaou"}
+
+    def word(k):
+        return "".join(rng.choice("bdklmn") + rng.choice(stems[k]) for _ in range(rng.randint(1, 3)))
+
+    made = []
+    for i in range(80):
+        k = rng.choice(list(stems))
+        made.append((i, " ".join(word(k) + rng.choice(["", "", "-x", ",", " 7"]) for _ in range(rng.randint(1, 12))), k))
+    made += [(80, None, "en"), (81, "12", "de"), (82, "lonely", None), (83, "straße", "de"), (83, "straße", "de"), (None, "bada", "en")]
+    table = spark.createDataFrame(made, "doc_id long, text string, lang string").repartition(5)
+    settings = language.Settings(head=head)
+    got = Counter((r.doc_id, r.held_out, r.lang_pred, round(r.score, 9)) for r in language.split_and_identify(table, settings=settings).collect())
+    want = plain_languages(made, settings)
+    assert got == Counter((i, is_held_out(i), k, round(float(s), 9)) for (i, _, _), (k, s) in zip(made, want, strict=True))
+
+
+def test_words_beyond_the_head_are_known_exactly(spark):
+    """With a sieve that lets everything through, the table alone decides what is known."""
+    made = [(i, " ".join(f"wort{chr(97 + (i * j) % 26)}{chr(97 + j)}" for j in range(9)), "ab"[i % 2]) for i in range(60)]
+    table = spark.createDataFrame(made, "doc_id long, text string, lang string")
+    settings = language.Settings(head=5)
+    learned = language.train(table.where(~language.is_held_out("doc_id")), settings)
+    got = {}
+    for full in (False, True):
+        with pytest.MonkeyPatch.context() as patch:
+            if full:
+                patch.setattr(language, "make_sieve", lambda *_: np.full(1 << 18, (1 << 64) - 1, dtype=np.uint64))
+            got[full] = {r.doc_id: (r.lang_pred, round(r.score, 9)) for r in language.identify(table, learned).collect()}
+    assert got[False] == got[True]
+    want = plain_languages(made, settings)
+    assert got[True] == {i: (k, round(float(s), 9)) for (i, _, _), (k, s) in zip(made, want, strict=True)}
+    assert learned.rare.count() + 5 == len({w for i, t, _ in made if not is_held_out(i) for w in t.split()})
+
+
+def test_sieve_hash_is_the_one_of_expressions(spark):
+    words = ["", "a", "straße", "日本語", "x" * 100]
+    got = [r.h for r in spark.createDataFrame([(w,) for w in words], "w string").select(F.xxhash64("w").alias("h")).collect()]
+    assert [h % (1 << 64) for h in got] == [xxhash.xxh64_intdigest(w.encode(), language.HASH_SEED) for w in words]
+
+
 def test_chat(spark):
     costs = chat.Costs()
 
