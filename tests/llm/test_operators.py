@@ -114,10 +114,25 @@ def test_jaccard_blocks_agree(docs):
     assert key(jaccard.near_duplicates(docs, forest=small)) == key(jaccard.near_duplicates(docs))
 
 
-def test_connected(spark):
-    edges = [(i, i + 1) for i in range(20)] + [(30, 31), (40, 40), (None, 3)]
-    got = {r.node: r.root for r in connected(spark.createDataFrame(edges, "node long, other long")).collect()}
-    assert got == {**{i: 0 for i in range(21)}, 30: 30, 31: 30, 40: 40}
+@pytest.mark.parametrize("per_task", [7, 500_000])
+def test_connected(spark, per_task):
+    """A path, a star, an own link, null ends and random links, contracted in many tasks and in one."""
+    rng = random.Random(9)
+    edges = [(i, i + 1) for i in range(20)] + [(30, 31), (31, 30), (30, 31), (40, 40), (None, 3), (50, None), (7, 7)]
+    edges += [(100, i) for i in range(101, 130)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(35)]
+    names = sorted({e for pair in edges if None not in pair for e in pair})
+    root = {n: n for n in names}
+    for _ in names:
+        for a, b in edges:
+            if a is not None and b is not None:
+                root[a] = root[b] = min(root[a], root[b])
+    table = spark.createDataFrame(edges, "node long, other long").repartition(6)
+    found = connected(table, per_task).collect()
+    assert {r.node: r.root for r in found} == root and len(found) == len(root)
+    as_bytes = table.select(*[F.unhex(F.lpad(F.hex(c), 4, "0")).alias(c) for c in ("node", "other")])
+    got = {int.from_bytes(r.node): int.from_bytes(r.root) for r in connected(as_bytes, per_task).collect()}
+    assert got == root
+    assert connected(table.limit(0), per_task).count() == 0
 
 
 def test_compact_windows():

@@ -194,7 +194,7 @@ def _alike(forest: Forest):
 
 
 def candidate_links(sigs: DataFrame, forest: Forest) -> DataFrame:
-    """Links (node, other) of classes that may reach the threshold, from the long to the short prefixes."""
+    """Links (node, other), some repeated, of classes that may reach the threshold, from the long to the short prefixes."""
     *longer, shortest = forest.levels()
     step = 2 * forest.depth
     keys = {level: f"key{level}" for level in (*longer, shortest)}
@@ -231,7 +231,7 @@ def candidate_links(sigs: DataFrame, forest: Forest) -> DataFrame:
     links = by_group(cells, ["tree", "key", "one", "two"], _match_nodes(forest), "node binary, other binary")
     for more in found:
         links = links.unionByName(more)
-    return links.distinct()
+    return links
 
 
 def _shingle_sets(width: int):
