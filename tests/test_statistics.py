@@ -234,6 +234,34 @@ def test_all_pairs_blocks_match_listed_pairs(spark):
     assert summary["mean_target"] == pytest.approx(np.mean([s for s, l in zip(scores, labels) if l]))
 
 
+def test_all_pairs_shuffle_no_row_more_than_once(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    data = [(i, i % 5, [float(x) for x in rng.standard_normal(4) + (i % 5)]) for i in range(1200)]
+    blocks = verify._vector_blocks(spark.createDataFrame(data, "k int, spk int, x array<double>"), "spk", "x", 1200, 100).cache()
+    assert blocks.agg(F.sum(F.size("codes"))).first()[0] == 1200 and blocks.agg(F.max(F.size("codes"))).first()[0] <= 100
+    pairs = verify._block_pairs(blocks)
+    n = blocks.count()
+    assert pairs.count() == n * (n + 1) // 2 and pairs.where("same").count() == n
+    assert "Exchange hash" not in pairs._jdf.queryExecution().executedPlan().toString()
+
+
+def test_all_pairs_meet_ties_and_missing_speakers(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    # few distinct vectors: many equal scores; keys repeat; rows without a speaker are one speaker
+    data = [(i % 9, None if i % 4 == 0 else i % 4, [float(x) for x in rng.integers(1, 4, 3)]) for i in range(120)]
+    emb = spark.createDataFrame(data, "k int, spk int, x array<double>")
+    unit = [np.array(d[2]) / (np.linalg.norm(d[2]) + 1e-8) for d in data]
+    pairs = [(round(float(unit[i] @ unit[j]), 12), int(data[i][1] == data[j][1])) for i in range(120) for j in range(i)]
+    eer, cost = brute_eer([p[0] for p in pairs], [p[1] for p in pairs], [1.0] * len(pairs))
+    for rows, bins in ((7, 8), (50, 1 << 16)):
+        out = verify.all_pairs_metrics(emb, key="k", speaker="spk", vector="x", block_rows=rows, bins=bins).first()
+        assert out["eer"] == pytest.approx(eer) and out["min_dcf"] == pytest.approx(cost)
+
+
 def test_drawn_trials_are_distinct_pairs_of_the_right_kind(spark):
     data = [(i, "hot" if i % 3 == 0 else f"s{i % 17}") for i in range(200)]
     emb = spark.createDataFrame(data, "k int, spk string")

@@ -11,10 +11,12 @@ Three ways to a result, all exact:
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,7 +24,7 @@ from utterset.functions import vectors
 from utterset.functions.hashing import order_key, permuted_rank
 from utterset.operators.sampling import with_shared_group_order
 from utterset.plans.ordering import beside, buckets_for, interval_lookup, running_totals
-from utterset.session import sized, slots
+from utterset.session import Scratch, sized, slots
 
 P_TARGET = 0.01
 
@@ -159,56 +161,144 @@ def all_pairs_summary(emb: DataFrame, *, speaker: str, vector: str) -> DataFrame
     )
 
 
-def _pair_blocks(
-    emb: DataFrame, key: str, speaker: str, vector: str, block_rows: int
-) -> tuple[DataFrame, int]:
-    """Rows spread by key over blocks of about ``block_rows`` rows."""
-    n = emb.count()
-    if n < 2:
-        raise ValueError("verification needs at least two utterances")
-    blocks = -(-n // block_rows)
+# a score kept to 12 decimals is an integer key; the smallest is above 2**36
+KEY_SCALE, KEY_ZERO, KEY_BITS = 1e12, float(1 << 40), 41
+NOT_A_SCORE = -KEY_SCALE - 1.0  # below every score
+FEW_PAIRS = 1 << 20  # so few are counted score by score at once
+CELLS = 1 << 17  # scores that a task holds at once
+
+
+def _vector_blocks(emb: DataFrame, speaker: str, vector: str, n: int, block_rows: int) -> DataFrame:
+    """(id, codes, vectors): at most ``block_rows`` rows each, vectors as the bytes of a matrix."""
     placed = emb.select(
-        F.col(key).cast("string").alias("rid"),
         F.col(speaker).cast("string").alias("code"),
         vectors.unit(vectors.as_double(F.col(vector))).alias("u"),
-        F.pmod(F.xxhash64(F.col(key)), F.lit(blocks)).cast("int").alias("block"),
-    )
-    return placed, blocks
-
-
-def _fan_out(placed: DataFrame, blocks: int) -> DataFrame:
-    """Each row once per block pair it takes part in."""
-    other = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    return other.select(
-        F.least("block", "other").alias("bi"),
-        F.greatest("block", "other").alias("bj"),
-        "block",
-        "rid",
-        "code",
-        "u",
     )
 
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, codes = None, []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            u = batch.column("u")
+            lengths = u.value_lengths().to_numpy(zero_copy_only=False)
+            if u.null_count or (lengths != lengths[0]).any():
+                raise ValueError("vectors must be present and of one length")
+            rows = u.flatten().to_numpy(zero_copy_only=False).reshape(len(u), -1)
+            held = rows if held is None else np.concatenate([held, rows])
+            codes += batch.column("code").to_pylist()
+            while len(held) >= block_rows:
+                yield packed(held[:block_rows], codes[:block_rows])
+                held, codes = held[block_rows:], codes[block_rows:]
+        if codes:
+            yield packed(held, codes)
+
+    def packed(rows: np.ndarray, codes: list[str]) -> pa.RecordBatch:
+        columns = [pa.array([codes], pa.list_(pa.string())), pa.array([rows.tobytes()], pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, names=["codes", "vectors"])
+
+    spread = placed.repartition(-(-n // block_rows))
+    blocks = spread.mapInArrow(pack, "codes array<string>, vectors binary")
+    return blocks.withColumn("id", F.monotonically_increasing_id())
+
+
+def _block_pairs(blocks: DataFrame) -> DataFrame:
+    """Every block beside itself and every other, each pair once; nothing is shuffled for it."""
+    a, b = (blocks.select(*[F.col(c).alias(f"{c}_{x}") for c in blocks.columns]) for x in "ab")
+    # a hash says which of the two comes first, so that every block leads about half its pairs
+    half = F.pmod(F.xxhash64(F.least("id_a", "id_b"), F.greatest("id_a", "id_b")), F.lit(2)) == 0
+    same = F.col("id_a") == F.col("id_b")
+    pairs = a.join(b, same | ((F.col("id_a") < F.col("id_b")) == half))
+    return pairs.withColumn("same", same).drop("id_a", "id_b").coalesce(8 * blocks.sparkSession.sparkContext.defaultParallelism)
+
+
+def _pair_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Score keys (as doubles) and whether the speakers agree, for some pairs at a time."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            names = [batch.column(f"codes_{x}")[i].as_py() for x in "ab"]
+            left, right = (
+                np.frombuffer(batch.column(f"vectors_{x}")[i].as_buffer(), dtype=float).reshape(len(c), -1)
+                for x, c in zip("ab", names, strict=True)
+            )
+            code = pd.factorize(np.array(names[0] + names[1], dtype=object))[0]
+            code_a, code_b = code[: len(left)], code[len(left) :]
+            finite = np.isfinite(left).all() and np.isfinite(right).all()
+            same, step = batch.column("same")[i].as_py(), max(1, CELLS // len(right))
+            for lo in range(0, len(left), step):
+                keys = left[lo : lo + step] @ right.T
+                keys *= KEY_SCALE
+                np.rint(keys, out=keys)
+                if not finite:
+                    keys[np.isnan(keys)] = NOT_A_SCORE
+                keys += KEY_ZERO
+                target = code_a[lo : lo + step, None] == code_b[None, :]
+                if same:
+                    later = np.arange(len(right))[None, :] > np.arange(lo, lo + len(keys))[:, None]
+                    yield keys[later], target[later]
+                else:
+                    yield keys.ravel(), target.ravel()
+
+
+def _all_bins(shift: int):
+    """(bin, t, n) of all pairs, bins of 2**shift keys."""
+    bins = 1 << (KEY_BITS - shift)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole, hits = np.zeros(bins, dtype=np.int64), np.zeros(bins, dtype=np.int64)
+        for keys, target in _pair_keys(batches):
+            keys *= 2.0**-shift
+            code = keys.astype(np.int64)
+            whole += np.bincount(code, minlength=bins)
+            hits += np.bincount(code[target], minlength=bins)
+        code = np.flatnonzero(whole)
+        yield _counts(code, hits[code], whole[code] - hits[code])
+
+    return run
+
+
+def _inner_bins(top: int, at: int, chosen: np.ndarray, shift: int):
+    """The same for pairs inside the ``chosen`` bins (ascending) of 2**at keys alone.
+
+    A few spans of keys are compared one by one; many are looked up among bins of 2**top keys first.
+    """
+    spans = np.split(chosen, np.flatnonzero(np.diff(chosen) > 1) + 1)
+    spans = [(float(x[0] << at), float((x[-1] + 1) << at)) for x in spans] if len(spans) <= 4 else []
+    wanted = np.zeros(1 << (KEY_BITS - top), dtype=bool)
+    wanted[chosen >> (top - at)] = True
 
-def _block_scores(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Scores and labels of the pairs of one block pair.
+    def places(keys: np.ndarray) -> np.ndarray:
+        if spans:
+            return np.flatnonzero(reduce(np.logical_or, [(keys >= low) & (keys < high) for low, high in spans]))
+        found = np.flatnonzero(wanted[(keys * 2.0**-top).astype(np.int64)])
+        return found[np.isin(keys[found].astype(np.int64) >> at, chosen)]
 
-    Row order is fixed and scores keep 12 decimals, so that both passes and any
-    retry see the same numbers.
-    """
-    pdf = pdf.sort_values(["block", "rid"])
-    bi, bj = int(pdf["bi"].iloc[0]), int(pdf["bj"].iloc[0])
-    vec = np.stack(pdf["u"].to_numpy())
-    code = pd.factorize(pdf["code"])[0]
-    if bi == bj:
-        left, right = np.triu_indices(len(vec), k=1)
-        return np.round((vec @ vec.T)[left, right], 12), code[left] == code[right]
-    in_i = pdf["block"].to_numpy() == bi
-    scores = vec[in_i] @ vec[~in_i].T
-    return np.round(scores.ravel(), 12), (code[in_i][:, None] == code[~in_i][None, :]).ravel()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept, sizes, waiting = [], [], 0
 
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            codes, inverse = np.unique(np.concatenate(kept), return_inverse=True)
+            return codes, np.bincount(inverse, weights=np.concatenate(sizes)).astype(np.int64)
 
-def _score_bin(scores: np.ndarray, bins: int) -> np.ndarray:
-    return np.clip(np.floor((scores + 1.0) * (bins / 2.0)), 0, bins - 1).astype(np.int64)
+        for keys, target in _pair_keys(batches):
+            found = places(keys)
+            # a bin's targets and non-targets are neighbours
+            codes, size = np.unique((keys[found].astype(np.int64) >> shift) * 2 + target[found], return_counts=True)
+            kept.append(codes)
+            sizes.append(size)
+            waiting += len(codes)
+            if waiting > FEW_PAIRS:
+                codes, size = merged()
+                kept, sizes, waiting = [codes], [size], 0
+        if kept:
+            codes, size = merged()
+            yield _counts(codes >> 1, np.where(codes & 1, size, 0), np.where(codes & 1, 0, size))
+
+    return run
+
+
+def _counts(code: np.ndarray, t: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (code, t, n)], names=["bin", "t", "n"])
 
 
 def all_pairs_metrics(
@@ -218,93 +308,68 @@ def all_pairs_metrics(
     speaker: str,
     vector: str,
     p_target: float = P_TARGET,
-    block_rows: int = 1024,
+    block_rows: int = 4096,
     bins: int = 65536,
 ) -> DataFrame:
     """Exact EER and minimum cost over all pairs: one row.
 
-    Pairs are scored block against block with a matrix product and leave the task
-    only as counts per score bin.  The bins fix the error rates at every bin
-    edge; only bins that can hold the EER crossing or the least cost are scored a
-    second time at full resolution.
+    Rows are stored once as blocks.  Every block meets every other in a product
+    without a shuffle, is scored against it by a matrix product, and a task leaves
+    only counts per score bin (about ``bins`` of them).  The bins fix the error rates
+    at every bin edge; bins that can hold the EER crossing or a lower cost are cut
+    into finer ones and counted again, until a bin is one score of 12 decimals.
     """
-    placed, blocks = _pair_blocks(emb, key, speaker, vector, block_rows)
-    fanned = _fan_out(placed, blocks)
-
-    def count_bins(pdf: pd.DataFrame) -> pd.DataFrame:
-        scores, target = _block_scores(pdf)
-        code, inverse = np.unique(_score_bin(scores, bins), return_inverse=True)
-        hits = np.bincount(inverse, weights=target, minlength=len(code))
-        size = np.bincount(inverse, minlength=len(code))
-        return pd.DataFrame(
-            {"bin": code, "t": hits.astype(np.int64), "n": size - hits.astype(np.int64)}
-        )
-
-    histogram = (
-        fanned.groupBy("bi", "bj")
-        .applyInPandas(count_bins, "bin long, t long, n long")
-        .groupBy("bin")
-        .agg(F.sum("t").alias("t"), F.sum("n").alias("n"))
-        .orderBy(F.col("bin").desc())
-        .toPandas()  # at most `bins` rows
-    )
-    t, n = histogram["t"].to_numpy(float), histogram["n"].to_numpy(float)
-    if t.sum() == 0 or n.sum() == 0:
+    n_rows = emb.count()
+    if n_rows < 2:
+        raise ValueError("verification needs at least two utterances")
+    scratch = Scratch(emb.sparkSession, "pairs")
+    parallel = emb.sparkSession.sparkContext.defaultParallelism
+    # a small table in smaller blocks, so that every slot has some
+    rows = max(1, min(block_rows, max(64, -(-n_rows // (2 * parallel)))))
+    blocks = scratch.keep(_vector_blocks(emb, speaker, vector, n_rows, rows), "blocks")
+    pairs = _block_pairs(blocks)
+
+    def histogram(run) -> list[np.ndarray]:
+        counted = pairs.mapInArrow(run, "bin long, t long, n long").groupBy("bin")
+        found = counted.agg(F.sum("t").alias("t"), F.sum("n").alias("n")).toPandas().sort_values("bin", ascending=False)
+        return [found[c].to_numpy(np.int64) for c in ("bin", "t", "n")]
+
+    top = shift = KEY_BITS - min(KEY_BITS, max(1, int(bins).bit_length() - 1))
+    code, t, n = histogram(_all_bins(shift))
+    all_t, all_n = int(t.sum()), int(n.sum())
+    if not all_t or not all_n:
         raise ValueError("verification needs target and non-target pairs")
-    fnr_end = 1.0 - np.cumsum(t) / t.sum()
-    fpr_end = np.cumsum(n) / n.sum()
-    fnr_start = np.concatenate([[1.0], fnr_end[:-1]])
-    fpr_start = np.concatenate([[0.0], fpr_end[:-1]])
-    cost_end = p_target * fnr_end + (1.0 - p_target) * fpr_end
-    least = min(p_target, cost_end.min())
-    bound = p_target * fnr_end + (1.0 - p_target) * fpr_start
-    crossing = (fnr_start - fpr_start >= 0) & (fnr_end - fpr_end <= 0)
-    # the point before the crossing bin is the edge of the previous bin
-    crossing[:-1] |= crossing[1:]
-    keep = crossing | (bound <= least + 1e-15)
-    chosen = histogram["bin"].to_numpy()[keep]
-
-    def list_scores(pdf: pd.DataFrame) -> pd.DataFrame:
-        scores, target = _block_scores(pdf)
-        inside = np.isin(_score_bin(scores, bins), chosen)
-        value, inverse = np.unique(scores[inside], return_inverse=True)
-        hits = np.bincount(inverse, weights=target[inside], minlength=len(value))
-        size = np.bincount(inverse, minlength=len(value))
-        return pd.DataFrame({"score": value, "t": hits, "n": size - hits})
-
-    spark = emb.sparkSession
-    starts = spark.createDataFrame(
-        pd.DataFrame(
-            {
-                "bin": chosen,
-                "before_t": (np.cumsum(t) - t)[keep],
-                "before_n": (np.cumsum(n) - n)[keep],
-            }
-        )
-    )
-    fine = (
-        fanned.groupBy("bi", "bj")
-        .applyInPandas(list_scores, "score double, t double, n double")
-        .groupBy("score")
-        .agg(F.sum("t").alias("t"), F.sum("n").alias("n"))
-        .withColumn(
-            "bin",
-            F.greatest(
-                F.lit(0), F.least(F.lit(bins - 1), F.floor((F.col("score") + 1.0) * (bins / 2.0)))
-            ).cast("long"),
-        )
-    )
-    order = Window.partitionBy("bin").orderBy(F.col("score").desc()).rowsBetween(
-        Window.unboundedPreceding, 0
-    )
-    points = fine.join(F.broadcast(starts), "bin").select(
-        "score",
-        (F.col("before_t") + F.sum("t").over(order)).alias("cum_t"),
-        (F.col("before_n") + F.sum("n").over(order)).alias("cum_n"),
-        F.lit(float(t.sum())).alias("tot_t"),
-        F.lit(float(n.sum())).alias("tot_n"),
+    before_t, before_n, least = np.cumsum(t) - t, np.cumsum(n) - n, p_target
+    while True:
+        fnr_start, fpr_start = 1.0 - before_t / all_t, before_n / all_n
+        fnr_end, fpr_end = 1.0 - (before_t + t) / all_t, (before_n + n) / all_n
+        least = min(least, float((p_target * fnr_end + (1.0 - p_target) * fpr_end).min()))
+        crossing = (fnr_start - fpr_start >= 0) & (fnr_end - fpr_end <= 0)
+        if not shift:
+            break
+        # no threshold inside a bin has fewer misses than its end, or fewer false alarms than its start
+        keep = crossing | (p_target * fnr_end + (1.0 - p_target) * fpr_start < least)
+        chosen, kept_t, kept_n = code[keep], before_t[keep], before_n[keep]
+        finer = max(1, (bins // len(chosen)).bit_length() - 1)
+        at, shift = shift, 0 if int((t + n)[keep].sum()) <= FEW_PAIRS else max(0, shift - finer)
+        code, t, n = histogram(_inner_bins(top, at, np.sort(chosen), shift))
+        # running totals start anew in every chosen bin, at what stood before it
+        owner = np.searchsorted(-chosen, -(code >> (at - shift)))
+        first = np.searchsorted(owner, owner)
+        sum_t, sum_n = np.cumsum(t) - t, np.cumsum(n) - n
+        before_t, before_n = kept_t[owner] + sum_t - sum_t[first], kept_n[owner] + sum_n - sum_n[first]
+    # thresholds next to the crossing, the highest first; before the first score there is none
+    fnr = np.stack([fnr_start, fnr_end], axis=1)[crossing].ravel()
+    fpr = np.stack([fpr_start, fpr_end], axis=1)[crossing].ravel()
+    real = np.stack([before_t + before_n > 0, np.ones(len(t), dtype=bool)], axis=1)[crossing].ravel()
+    gap = np.where(real, np.abs(fnr - fpr), np.inf)
+    best = int(np.argmin(gap))
+    eer = 0.5 if gap[best] >= 1.0 else float(fnr[best] + fpr[best]) / 2
+    scratch.drop(blocks)
+    norm = min(p_target, 1.0 - p_target)
+    return emb.sparkSession.createDataFrame(
+        [(eer, min(p_target / norm, least / norm))], "eer double, min_dcf double"
     )
-    return _operating_points(points, [], p_target)
 
 
 # --------------------------------------------------------------------------
