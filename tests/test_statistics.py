@@ -441,3 +441,45 @@ def test_seed_summary_uses_the_sample_deviation(spark):
     df = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("b", 5.0)], "system string, value double")
     out = {r["system"]: r for r in classify.seed_summary(df, ["system"]).collect()}
     assert out["a"]["seed_sample_sd"] == pytest.approx(math.sqrt(2)) and out["b"]["seed_sample_sd"] is None
+
+
+def listed_draws(one, two, counts, block, size):
+    """The rule of the draws, one at a time."""
+    a, b = (resample.key_word(one, two, block, use) for use in (resample.DRAW_ONE, resample.DRAW_TWO))
+    out = np.zeros((len(counts), size), dtype=np.int64)
+    for r, m in enumerate(counts):
+        words = resample.mix32(resample.mix32(np.arange(m, dtype=np.uint32) * np.uint32(resample.STEP) + a[r]) ^ b[r])
+        for w in words:
+            out[r, (int(w) * size) >> 32] += 1
+    return out
+
+
+@pytest.mark.parametrize("size", [1, 2, 37, 4096])
+def test_draws_in_groups_are_the_draws_one_by_one(size, monkeypatch):
+    rng = np.random.default_rng(size)
+    one, two = (rng.integers(0, 1 << 30, 9).astype(np.uint32) for _ in "ab")
+    counts = np.array([0, 1, 5, 300, 2, 0, 77, 500, 3], dtype=np.int32)
+    monkeypatch.setattr(resample, "WORDS", 1100)  # two replicates at a time
+    got = resample.multiplicities(one, two, counts, 3, size)
+    assert got.dtype == np.int64 and (got == listed_draws(one, two, counts, 3, size)).all()
+
+
+def test_laws_kept_and_laws_in_rows_agree(monkeypatch):
+    rng = np.random.default_rng(8)
+    for n, p in ((3, 0.5), (900, 1 / 3), (8192, 0.5)):
+        m, u = rng.binomial(n, 0.9, 60), rng.random(60)
+        m[0] = 0
+        kept = resample.binomial_quantile(m, p, u)
+        with monkeypatch.context() as patch:
+            patch.setattr(resample, "KNOWN_SIZE", -1)
+            assert (resample.binomial_quantile(m, p, u) == kept).all()
+
+
+def test_a_task_takes_several_blocks_and_trees_are_dealt_evenly(spark):
+    n = 100 * resample.BLOCK
+    units = spark.range(n).select(F.col("id").alias("pos"))
+    give = lambda m, held: {"all": m.sum(axis=1)}
+    made = resample.per_replicate(units, ["pos"], give, "all long", n, 2, 3)
+    parts = made.rdd.getNumPartitions()
+    assert parts <= 8 * spark.sparkContext.defaultParallelism < 100
+    assert made.agg(F.sum("all")).first()[0] == 2 * n

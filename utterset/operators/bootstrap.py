@@ -245,7 +245,7 @@ def _additive(
     point_row = units.agg(*total).withColumn("replicate", F.lit(-1))
 
     def sums_of(drawn: np.ndarray, held: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-        made = drawn @ np.stack([held[c] for c in columns], axis=1)
+        made = drawn.astype(float) @ np.stack([held[c] for c in columns], axis=1)
         return dict(zip(columns, made.T, strict=True))
 
     schema = ", ".join(f"{c} double" for c in columns)

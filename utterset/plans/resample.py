@@ -13,6 +13,7 @@ Hashes are 32-bit mixes, so any engine with 64-bit integers gives the same draws
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +25,11 @@ from utterset.session import slots
 
 BLOCK = 4096
 CHUNK = 250  # replicates that a task works on at once
-TREE_CHUNK = 500
-MOST_TASKS = 10_000
+WORDS = 1 << 16  # hashes held at once
+TREE_CHUNK = 100
+KNOWN_SIZE = 40_000  # a kept law takes at most 14 kB
+LAW_CELLS = 1 << 16  # probabilities held at once
+TASK_BLOCKS = 64
 # fixed values of the 32-bit mix
 STEP, FIRST, SECOND = 0x9E3779B9, 0x85EBCA6B, 0xC2B2AE35
 SPLIT_HIGH, SPLIT_LOW, DRAW_ONE, DRAW_TWO = 1, 2, 3, 4  # what a word is for
@@ -40,6 +44,15 @@ def mix32(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def _mix_in_place(x: np.ndarray, spare: np.ndarray, high_only: bool = False) -> None:
+    """``mix32`` without new arrays; its last step leaves the 16 high bits as they are."""
+    for shift, factor in ((16, FIRST), (13, SECOND), *([] if high_only else [(16, None)])):
+        np.right_shift(x, np.uint32(shift), out=spare)
+        np.bitwise_xor(x, spare, out=x)
+        if factor:
+            np.multiply(x, np.uint32(factor), out=x)
+
+
 def key_word(one: np.ndarray, two: np.ndarray, number: int, use: int) -> np.ndarray:
     """A word for each replicate's key (one, two), for a node or block number and a use."""
     at = np.uint32((number * 8 + use) * STEP & 0xFFFFFFFF)
@@ -59,23 +72,49 @@ def binomial_quantile(m: np.ndarray, p: float, u: np.ndarray) -> np.ndarray:
     Probabilities are ratios outwards from the mode, as far as 8 deviations and 40.
     """
     out = np.zeros(len(m), dtype=np.int64)
+    if len(m) and m.max() <= KNOWN_SIZE:
+        # the lowest levels of a tree ask for the same few laws in every node
+        for i, size in enumerate(m.tolist()):
+            if size:
+                low, reached = _known_law(size, p)
+                out[i] = min(low + int(reached.searchsorted(u[i], side="right")), size)
+        return out
     odds = p / (1 - p)
-    order = np.argsort(m, kind="stable")
-    for group in np.split(order, np.flatnonzero(np.diff(m[order])) + 1):
-        size = int(m[group[0]])
-        if not size:
-            continue
-        mode, reach = int((size + 1) * p), int(8 * np.sqrt(size * p * (1 - p))) + 40
-        low, high = max(0, mode - reach), min(size, mode + reach)
-        up, down = np.arange(mode, high, dtype=float), np.arange(mode, low, -1, dtype=float)
-        above = np.cumprod((size - up) / (up + 1) * odds)
-        below = np.cumprod(down / (size - down + 1) / odds)
-        mass = np.concatenate([below[::-1], [1.0], above])
-        reached = np.cumsum(mass)
-        out[group] = np.minimum(low + np.searchsorted(reached / reached[-1], u[group], side="right"), size)
+    sizes, owner = np.unique(m, return_inverse=True)
+    order = np.argsort(owner, kind="stable")
+    mode, reach = ((sizes + 1) * p).astype(np.int64), (8 * np.sqrt(sizes * p * (1 - p))).astype(np.int64) + 40
+    low, high = np.maximum(0, mode - reach), np.minimum(sizes, mode + reach)
+    start = 0
+    while start < len(sizes):
+        # laws of some sizes at a time, as rows around their modes; sizes ascend, and so do the widths
+        some = max(1, LAW_CELLS // (2 * int(reach[start]) + 1))
+        part = slice(start, start + some)
+        size, far = sizes[part, None].astype(float), np.arange(reach[part].max())
+        up, down = mode[part, None] + far, mode[part, None] - far
+        above = np.cumprod(np.where(up < high[part, None], (size - up) / (up + 1) * odds, 0.0), axis=1)
+        below = np.cumprod(np.where(down > low[part, None], down / (size - down + 1) / odds, 0.0), axis=1)
+        reached = np.cumsum(np.concatenate([below[:, ::-1], np.ones((len(size), 1)), above], axis=1), axis=1)
+        reached /= reached[:, -1:]
+        here = order[slice(*np.searchsorted(owner[order], [start, start + len(size)]))]
+        passed = (reached[owner[here] - start] <= u[here, None]).sum(axis=1)
+        out[here] = np.minimum(np.maximum(0, passed - len(far) + mode[owner[here]]), m[here])
+        start += some
     return out
 
 
+@lru_cache(maxsize=12_000)
+def _known_law(size: int, p: float) -> tuple[int, np.ndarray]:
+    """(least k, P(Binomial(size, p) <= k) from it on)."""
+    odds = p / (1 - p)
+    mode, reach = int((size + 1) * p), int(8 * np.sqrt(size * p * (1 - p))) + 40
+    low, high = max(0, mode - reach), min(size, mode + reach)
+    up, down = np.arange(mode, high, dtype=float), np.arange(mode, low, -1, dtype=float)
+    above = np.cumprod((size - up) / (up + 1) * odds)
+    below = np.cumprod(down / (size - down + 1) / odds)
+    reached = np.cumsum(np.concatenate([below[::-1], [1.0], above]))
+    return low, reached / reached[-1]
+
+
 def blocks_of(n: int) -> int:
     return max(1, -(-n // BLOCK))
 
@@ -136,7 +175,7 @@ def block_draws(spark: SparkSession, n: int, replicates: int, seed: int, start:
     Arrays are replicates long; ``first`` is the first replicate's number.
     """
     keys = replicate_keys(spark, replicates, seed, start)
-    spread = keys.repartition(slots(spark, replicates, TREE_CHUNK), "first")
+    spread = keys.repartition(slots(spark, replicates, TREE_CHUNK))  # evenly, not by a hash
     counts = spread.mapInArrow(_tree(n), "block long, first int, counts array<int>")
     whole = counts.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("first", "counts"))).alias("c"))
     listed = keys.agg(F.sort_array(F.collect_list(F.struct("first", "one", "two"))).alias("k"))
@@ -152,13 +191,30 @@ def multiplicities(
 ) -> np.ndarray:
     """(replicate, unit) matrix of how often each unit of a block is drawn."""
     a, b = key_word(one, two, block, DRAW_ONE), key_word(one, two, block, DRAW_TWO)
-    ends = np.cumsum(counts)
-    total = int(ends[-1]) if len(ends) else 0
-    number = (np.arange(total) - np.repeat(ends - counts, counts)).astype(np.uint32)
-    words = mix32(mix32(number * np.uint32(STEP) + np.repeat(a, counts)) ^ np.repeat(b, counts))
-    index = (words.astype(np.uint64) * np.uint64(size)) >> np.uint64(32)
-    flat = index.astype(np.int64) + np.repeat(np.arange(len(counts)) * size, counts)
-    return np.bincount(flat, minlength=len(counts) * size).reshape(len(counts), size)
+    most = int(counts.max()) if len(counts) else 0
+    # some replicates at a time, in the same few arrays, so that they stay in the processor's cache
+    group = max(1, min(len(counts), WORDS // max(1, most)))
+    steps = np.arange(most, dtype=np.uint32) * np.uint32(STEP)
+    held, spare = np.empty((group, most), dtype=np.uint32), np.empty((group, most), dtype=np.uint32)
+    exact = 1 < size <= 1 << 16 and size & (size - 1) == 0  # a power of two: high bits are the place
+    out = np.empty((len(counts), size), dtype=np.int64)
+    for lo in range(0, len(counts), group):
+        here = counts[lo : lo + group].tolist()
+        words, other = held[: len(here)], spare[: len(here)]
+        np.add(steps[None, :], a[lo : lo + group, None], out=words)
+        _mix_in_place(words, other)
+        np.bitwise_xor(words, b[lo : lo + group, None], out=words)
+        _mix_in_place(words, other, exact)
+        if exact:
+            np.right_shift(words, np.uint32(33 - size.bit_length()), out=words)
+        else:
+            words[...] = (words.astype(np.uint64) * np.uint64(size)) >> np.uint64(32)
+        words += (np.arange(len(here), dtype=np.uint32) * np.uint32(size))[:, None]
+        for row, m in zip(words, here, strict=True):
+            row[m:] = len(here) * size  # beyond the replicate's draws: a place that is dropped
+        drawn = np.bincount(words.ravel(), minlength=len(here) * size + 1)[:-1]
+        out[lo : lo + group] = drawn.reshape(len(here), size)
+    return out
 
 
 def block_rows(units: DataFrame, columns: Sequence[str], pos: str = "pos") -> DataFrame:
@@ -184,8 +240,10 @@ def per_replicate(
     ``replicate`` among them as places in the batch, any number of rows.
     """
     drawn = block_draws(units.sparkSession, n, replicates, seed, start)
-    # a row is a block with all its draws: few bytes and much work, so rows are dealt out evenly
-    cells = block_rows(units, columns).join(drawn, "block").repartition(min(blocks_of(n), MOST_TASKS))
+    # a row is a block with all its draws: few bytes and much work, so rows are dealt out evenly, several
+    # to a task, whose sums per replicate then leave it once for all its blocks
+    blocks, parallel = blocks_of(n), units.sparkSession.sparkContext.defaultParallelism
+    cells = block_rows(units, columns).join(drawn, "block").repartition(min(blocks, max(8 * parallel, -(-blocks // TASK_BLOCKS))))
     names = [field.split()[0] for field in schema.split(",")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
