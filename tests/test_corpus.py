@@ -382,3 +382,20 @@ def test_parity_audit_reports_mismatch_and_error(spark):
 def test_document_manifest_has_the_core(spark, sf_small):
     assert document_manifest(spark, sf_small).columns == [
         "audio_filepath", "text", "duration", "sample_rate", "dataset", "id", "speaker_id", "language"]
+
+
+def test_rows_of_a_bucket_with_many_shards_find_their_own(spark, monkeypatch):
+    data = [(i % 700 if i % 3 else None, 600 + 37 * (i % 11)) for i in range(900)]  # keys repeat, some are missing
+    df = spark.createDataFrame(data, "k int, size long")
+    count = lambda out: sorted(map(repr, out.collect()))
+    limit = shards.FINAL_RECORD + 3000
+    pack = lambda digits: shards.assign_shards(df, key="k", size="size", target=limit, seed=4, digits=digits)
+    for digits in (0, 1):
+        monkeypatch.setattr(shards, "CELL_STARTS", 10**6)  # one cell to a bucket: every start is compared
+        whole = count(pack(digits))
+        monkeypatch.setattr(shards, "CELL_STARTS", 2)
+        out = pack(digits).localCheckpoint()
+        assert count(out) == whole and len({r["shard"] for r in out.collect()}) > 100
+        # what a row is compared with does not grow with the bucket
+        plan = pack(digits)._jdf.queryExecution().analyzed().toString()
+        assert "_before" in plan and "_cell" in plan

@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from utterset import violations as v
@@ -19,6 +19,7 @@ from utterset.session import Scratch, sized
 # Fixed values of the shard format.
 BLOCK = 512
 FINAL_RECORD = 10240
+CELL_STARTS = 8  # starts that a row is compared with, about
 MAX_SHARD = 2 * 1024**3
 SNR_FLOOR = 1.0e-30
 KIND = "speech-audio-shards"
@@ -40,8 +41,8 @@ def assign_shards(
     total size / (target * 16**digits) should be some tens of shards.  Inside a
     bucket (key, size) pairs stream once in order through a task that remembers
     only the open shard and emits where each shard starts.  A shard is an interval
-    of the order, so rows find theirs by comparing with their bucket's few starts:
-    payload columns are not shuffled.  Each bucket may leave one part-filled last
+    of the order, so rows find theirs by comparing with the few starts of a cell of
+    their bucket: payload columns are not shuffled.  Each bucket may leave one part-filled last
     shard.  A row that no shard can hold raises.
     """
     v.assert_empty(oversized(df, key, size))
@@ -80,17 +81,33 @@ def assign_shards(
         .sortWithinPartitions("bucket", "_h", "key")
         .mapInPandas(starts, f"bucket string, _h string, key {key_type}")
     )
-    # some tens of starts to a bucket
-    table = begun.groupBy(F.col("bucket").alias("_bucket")).agg(
+    # a bucket's starts are dealt to cells, longer hash prefixes with a few starts each, so that a row
+    # compares with few starts however many its bucket has
+    begun = sized(begun)
+    largest = begun.groupBy("bucket").count().agg(F.max("count")).first()[0] or 0
+    deeper = 0
+    while 16**deeper * CELL_STARTS < largest:
+        deeper += 1
+    numbers = F.explode(F.sequence(F.lit(0), F.lit(16**deeper - 1))).alias("d")
+    cells = begun.select("bucket").distinct().select("bucket", numbers).select(
+        "bucket", F.concat("bucket", F.lower(F.lpad(F.hex("d"), deeper, "0"))).alias("_cell")
+    )
+    held = begun.groupBy("bucket", F.substring("_h", 1, digits + deeper).alias("_cell")).agg(
         F.collect_list(F.struct("_h", "key")).alias("_starts")
     )
+    before = Window.partitionBy("bucket").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    table = cells.join(held, ["bucket", "_cell"], "left").select(
+        "bucket", "_cell", F.coalesce("_starts", F.array().cast(held.schema["_starts"].dataType)).alias("_starts")
+    )
+    table = table.select("_cell", "_starts", F.coalesce(F.sum(F.size("_starts")).over(before), F.lit(0)).alias("_before"))
+    hashed = hashed.withColumn("_cell", F.substring("_h", 1, digits + deeper) if digits + deeper else F.lit(""))
     here = F.struct(F.col("_h"), F.col(key).alias("key"))
-    number = F.size(F.filter("_starts", lambda s: s <= here)) - 1
+    number = F.col("_before") + F.size(F.filter("_starts", lambda s: s <= here)) - 1
     name = F.concat(
         F.lit("shard-"), F.when(F.col("_bucket") != "", F.concat("_bucket", F.lit("-"))).otherwise(""),
         F.lpad(number.cast("string"), 6, "0"),
     )
-    return hashed.join(sized(table), "_bucket").withColumn("shard", name).select(*df.columns, "shard")
+    return hashed.join(sized(table), "_cell").withColumn("shard", name).select(*df.columns, "shard")
 
 
 def oversized(df: DataFrame, key: str, size: str) -> DataFrame:
