@@ -187,6 +187,51 @@ def test_passages(docs, rows, none):
     assert passages.find_repeats(none).count() == 0 and passages.without_repeats(none).count() == 0
 
 
+def test_only_windows_behind_a_smaller_document_are_kept(spark):
+    """Values go with their least document, over any number of batches and in one exchange."""
+    rng = np.random.default_rng(4)
+    data = sorted({(int(v), int(d), int(w)) for v, d, w in rng.integers(0, (60, 8, 3), (300, 3))})
+    columns = [pa.array([r[i] for r in data], pa.int64()) for i in range(3)]
+    whole = pa.RecordBatch.from_arrays(columns, names=["value", "doc", "window"])
+    least = {v: min(d for w, d, _ in data if w == v) for v, _, _ in data}
+    want = [(*r, least[r[0]]) for r in data if r[1] != least[r[0]]]
+    for size in (1, 2, 7, 300):
+        batches = (whole.slice(i, size) for i in range(0, len(data), size))
+        got = [tuple(r.values()) for b in passages._behind_the_least(batches) for r in b.to_pylist()]
+        assert got == want
+    rows = [(i, words(random.Random(i % 3), 70) + f" end{i}") for i in range(9)]
+    texts = spark.createDataFrame(rows, "doc long, text string")
+    kept = passages.shared_windows(texts, passages.Windows())
+    assert {r["doc"] % 3 == r["anchor"] and r["doc"] > 2 for r in kept.collect()} == {True}
+    assert kept._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression") == 1
+
+
+def test_pieces_are_verified_like_whole_texts(spark):
+    """A text goes to its partner as the piece between its first and last run; what is found stays the same."""
+    rng, params = random.Random(12), passages.Windows()
+    shared = words(rng, 80)
+    mine = " ".join([words(rng, 3000), shared, words(rng, 2000)])
+    theirs = " ".join([words(rng, 500), shared.replace(" ", " odd ", 1), words(rng, 400)])
+    window = windows_of(mine, params)
+    other = {int(v) for b in passages._windows(params)([named_batch(1, theirs)]) for v in b.column("value").to_pylist()}
+    value = [int(v) for b in passages._windows(params)([named_batch(0, mine)]) for v in b.column("value").to_pylist()]
+    window = window[[v in other for v in value]]
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array([7]), pa.array([3]), pa.array([window.tolist()], pa.list_(pa.int64())), pa.array([mine])],
+        names=["doc", "anchor", "windows", "text"],
+    )
+    (piece,) = passages._pieces(params)([batch])
+    assert 0 < len(piece.column("piece")[0].as_py()) < len(mine) / 10
+    whole = passages.verify(*passages._flat_shingles(pa.array([mine, theirs]), params.width), window, params)
+    (got,) = passages._verify_pairs(params)([piece.append_column("other_text", pa.array([theirs]))])
+    found = [(r["first_word"], r["first_word"] + r["n_words"] - 4, r["anchor_word"], r["similarity"]) for r in got.to_pylist()]
+    assert found == whole and whole
+
+
+def named_batch(doc, text):
+    return pa.RecordBatch.from_arrays([pa.array([doc], pa.int64()), pa.array([text])], names=["doc", "text"])
+
+
 def windows_of(text, params):
     """Packed windows of one text, all functions."""
     batch = pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), pa.array([text])], names=["doc", "text"])
@@ -328,6 +373,10 @@ def test_sieve_never_says_no_to_what_it_holds(spark):
     made = sieve.make_sieve(values, "v", bits=16)
     held = np.array([r["v"] for r in values.collect()], dtype=np.int64).view(np.uint64)
     assert sieve.lets_through(made, held).all()
+    large = sieve.make_sieve(values, "v", sieve.LARGE)
+    assert sieve.lets_through(large, held).all() and len(large) * 64 == 1 << sieve.LARGE
+    assert sum(bin(w).count("1") for w in large[large != 0].tolist()) <= 10_000
+    assert not sieve.lets_through(large, mix(np.arange(1000, dtype=np.uint64))).all()
     other = np.array([r[0] for r in spark.range(10**6, 10**6 + 5000).select(F.xxhash64("id")).collect()], dtype=np.int64).view(np.uint64)
     assert 0 < sieve.lets_through(made, other).mean() < 0.1
     assert not sieve.lets_through(sieve.make_sieve(values.limit(0), "v", bits=16), held).any()
